@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes that a worker handles at a time; one longer text is handled alone.
 PIECE_BYTES = 6 << 20
+#: Rows that a worker handles at a time.
+PIECE_ROWS = 4096
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _S30, _S27, _S31 = np.uint64(30), np.uint64(27), np.uint64(31)
@@ -29,7 +31,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def pieces(batches: Iterable[pa.RecordBatch], text: int | str = "text", limit: int = PIECE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-    """Slices of the batches with at most ``limit`` bytes of text each, and their texts with null as ''."""
+    """Slices of the batches with at most ``limit`` bytes of text and PIECE_ROWS rows each, and their texts with null as ''."""
     for batch in batches:
         column = batch.column(text)
         if column.null_count:
@@ -37,7 +39,7 @@ def pieces(batches: Iterable[pa.RecordBatch], text: int | str = "text", limit: i
         sizes = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
         start, before = 0, 0
         while start < batch.num_rows:
-            end = max(start + 1, int(np.searchsorted(sizes, before + limit, side="right")))
+            end = min(max(start + 1, int(np.searchsorted(sizes, before + limit, side="right"))), start + PIECE_ROWS)
             yield batch.slice(start, end - start), column.slice(start, end - start)
             start, before = end, int(sizes[end - 1])
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import bpe_automaton, risk_rules, winnowing
+from corvane.llm import bpe_automaton, minhash, risk_rules, winnowing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_rules": risk_rules.op3,
         "op4_bpe": bpe_automaton.op4,
         "op6_decontamination": winnowing.op6,
+        "op9_near_dedup": minhash.op9,
     }
 
 
@@ -21,4 +22,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_quality_rules": risk_rules.OP3_SQL,
         "op6_decontamination": winnowing.OP6_SQL,
+        "op9_near_dedup": minhash.OP9_SQL,
     }
