@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import bpe_automaton, minhash, risk_rules, winnowing
+from corvane.llm import bpe_automaton, compression_classifier, cross_parsing, minhash, risk_rules, winnowing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_language_id": cross_parsing.op2,
         "op3_quality_rules": risk_rules.op3,
         "op4_bpe": bpe_automaton.op4,
         "op6_decontamination": winnowing.op6,
+        "op7_quality_classifier": compression_classifier.op7,
         "op9_near_dedup": minhash.op9,
     }
 
