@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import bpe_automaton, compression_classifier, cross_parsing, minhash, risk_rules, trie_counts, winnowing
+from corvane.llm import bpe_automaton, compression_classifier, cross_parsing, html_main_text, minhash, risk_rules, trie_counts, winnowing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_main_text": html_main_text.op1,
         "op2_language_id": cross_parsing.op2,
         "op3_quality_rules": risk_rules.op3,
         "op4_bpe": bpe_automaton.op4,
