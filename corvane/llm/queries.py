@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import bpe_automaton, compression_classifier, cross_parsing, html_main_text, minhash, risk_rules, trie_counts, winnowing
+from corvane.llm import bpe_automaton, compression_classifier, cross_parsing, html_main_text, line_dedup, minhash, risk_rules, trie_counts, winnowing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_bpe": bpe_automaton.op4,
         "op6_decontamination": winnowing.op6,
         "op7_quality_classifier": compression_classifier.op7,
+        "op8_line_dedup": line_dedup.op8,
         "op9_near_dedup": minhash.op9,
         "op10_token_counts": trie_counts.op10,
     }

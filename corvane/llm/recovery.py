@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ready(spark: SparkSession) -> None:
@@ -18,3 +20,18 @@ def stored(df: DataFrame) -> DataFrame:
     """The rows, computed once and kept in the shared folder."""
     ready(df.sparkSession)
     return df.checkpoint()
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle and checkpoint files of frames that aren't referred to any more; between the phases of a long job."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+#: Rows of the other side up to which a join is done without shuffling the large side.
+BROADCAST_ROWS = 200_000
+
+
+def join_small(large: DataFrame, small: DataFrame, on: str, how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A join that broadcasts the side ``small``, already stored and of short rows, if it has at most ``limit`` rows; otherwise both sides are shuffled."""
+    return large.join(F.broadcast(small) if small.limit(limit + 1).count() <= limit else small, on, how)
