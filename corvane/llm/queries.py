@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import bpe_automaton, compression_classifier, cross_parsing, html_main_text, line_dedup, minhash, risk_rules, trie_counts, winnowing
+from corvane.llm import bpe_automaton, compression_classifier, cross_parsing, html_main_text, line_dedup, minhash, risk_rules, suffix_dedup, trie_counts, winnowing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_language_id": cross_parsing.op2,
         "op3_quality_rules": risk_rules.op3,
         "op4_bpe": bpe_automaton.op4,
+        "op5_suffix_dedup": suffix_dedup.op5,
         "op6_decontamination": winnowing.op6,
         "op7_quality_classifier": compression_classifier.op7,
         "op8_line_dedup": line_dedup.op8,
