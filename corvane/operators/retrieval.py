@@ -137,7 +137,7 @@ def read_evidence(files: DataFrame, first: int, max_lines: int = 200, max_chars:
 def update_index(old_postings: DataFrame, chunks_now: DataFrame, touched: DataFrame) -> DataFrame:
     """Postings after the chunks of touched files changed: theirs are taken out and computed anew, the rest is kept."""
     kept = old_postings.join(touched, "chunk_id", "left_anti")
-    return kept.unionByName(postings(chunks_now.join(touched, "chunk_id", "left_semi")))
+    return kept.select("term", "chunk_id", "tf").unionByName(postings(chunks_now.join(touched, "chunk_id", "left_semi")))
 
 
 def unique_chunk_ids(rows: DataFrame, id_col: str, order: str) -> DataFrame:
