@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.llm.recovery import small_batches
+
 #: Text bytes that a worker handles at a time; one longer text is handled alone.
 PIECE_BYTES = 6 << 20
 #: Rows that a worker handles at a time.
@@ -114,13 +116,14 @@ def map_texts(
     """
     names = [f.split()[0] for f in fields.split(",")]
     kept = [c for c in dict.fromkeys(keep) if c not in names and c != id_col]
-    inner = df.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"), *[F.col(c) for c in kept])
-    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields if f.name != "__text"] + [fields])
-    first = [id_col, *kept]
+    small_batches(df.sparkSession)
+    first = [f"__{i}" for i in range(len(kept) + 1)]  # own names inside, whatever the input's are
+    inner = df.select(F.col(text_col).cast("string"), F.col(id_col), *[F.col(c) for c in kept]).toDF("__text", *first)
+    ddl = ", ".join([f"`{c}` {inner.schema[c].dataType.simpleString()}" for c in first] + [fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in pieces(batches, "__text", limit):
             out = work(texts)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in first] + [x if isinstance(x, pa.Array) else pa.array(x) for x in (out[c] for c in names)], [*first, *names])
 
-    return inner.mapInArrow(run, ddl)
+    return inner.mapInArrow(run, ddl).toDF(id_col, *kept, *names)

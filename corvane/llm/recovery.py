@@ -16,9 +16,22 @@ def ready(spark: SparkSession) -> None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
+#: Rows and bytes of an Arrow batch, so that texts in flight stay small beside the heap.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2048", "spark.sql.execution.arrow.maxBytesPerBatch": "8388608"}
+DEFAULT_ROWS = "10000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to BATCH, unless somebody has chosen another size than Spark's own."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", DEFAULT_ROWS) == DEFAULT_ROWS:
+        for k, v in BATCH.items():
+            spark.conf.set(k, v)
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """The rows, computed once and kept in the shared folder."""
+    """The rows, computed once, in small Arrow batches, and kept in the shared folder."""
     ready(df.sparkSession)
+    small_batches(df.sparkSession)
     return df.checkpoint()
 
 

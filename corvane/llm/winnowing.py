@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm.arrays import from_utf8, lengths_to_rows, mix64, pieces, space_words, sums, utf8_buffer
-from corvane.llm.recovery import stored
+from corvane.llm.recovery import small_batches, stored
 
 WINDOW, GRAM = 10, 5
 #: Benchmark text in one broadcast index.
@@ -176,15 +176,17 @@ def mark_hits(
     spark = docs.sparkSession
     names = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "items"]
     kept = [c for c in dict.fromkeys(keep) if c not in names and c != id_col]
-    df = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"), *map(F.col, kept), F.lit(None).cast("array<int>").alias("__at"), F.lit(None).cast("array<string>").alias("__items"))
-    fixed = [id_col, "__text", *kept]
+    head = [f"__{i}" for i in range(len(kept) + 1)]  # own names inside, whatever the input's are
+    fixed = ["__text", *head]
+    small_batches(spark)
+    df = docs.select(F.col(text_col).cast("string"), F.col(id_col), *map(F.col, kept), F.lit(None).cast("array<int>"), F.lit(None).cast("array<string>")).toDF(*fixed, "__at", "__items")
     ddl = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in df.columns)
     blocks = list(_blocks(benchmark, item_col, item_text_col, block_bytes)) if block_bytes else []
     for k, block in enumerate(blocks):
         index = spark.sparkContext.broadcast(BenchmarkIndex(block, window, gram))
 
         def run(batches, index=index):
-            for batch, texts in pieces(batches, "__text"):
+            for batch, texts in pieces(batches, "__text", 2 << 20):
                 offsets, words = item_words(texts)
                 row = lengths_to_rows(offsets)
                 at, items = batch.column("__at").to_pylist(), batch.column("__items").to_pylist()
@@ -199,7 +201,7 @@ def mark_hits(
             df = stored(df)
 
     def finish(batches):
-        for batch, texts in pieces(batches, "__text"):
+        for batch, texts in pieces(batches, "__text", 2 << 20):
             data, offsets = utf8_buffer(texts)
             solid = _WORD_BYTES[data] != 32
             first = solid.copy()
@@ -222,12 +224,12 @@ def mark_hits(
                 all_items.append(found)
             out = [pa.array(sums(first, offsets)), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digest, pa.string()), pa.array([n > 0 for n in n_hit], pa.bool_())]
             out += [pa.array(merged, pa.list_(pa.int32())), pa.array(all_items, pa.list_(pa.string()))] if spans else []
-            head = [id_col, *kept]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in head], *out], [*head, *names[: len(out)]])
 
     types = ["long", "long", "long", "string", "boolean", "array<int>", "array<string>"]
-    head = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (id_col, *kept)]
-    return df.mapInArrow(finish, ", ".join(head + [f"{n} {t}" for n, t in zip(names, types, strict=True)][: 7 if spans else 5]))
+    results = [f"{n} {t}" for n, t in zip(names, types, strict=True)][: 7 if spans else 5]
+    out = df.mapInArrow(finish, ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in head] + results))
+    return out.toDF(id_col, *kept, *names[: len(results)])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
