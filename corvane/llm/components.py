@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.recovery import stored
 
-#: The rest of a candidate search is finished pair by pair once it is at most so many pairs for each open member.
+#: The rest of a candidate search is finished pair by pair once it is at most so many pairs for each open member, or after so many stars of each bucket.
 REST_PAIRS = 20
-STAR_ROUNDS = 12
+STAR_ROUNDS = 2
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -43,7 +43,7 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     return found.union(found.select(F.col("component").alias("node"), "component")).distinct()
 
 
-def link_buckets(members: DataFrame, confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def link_buckets(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], traits: DataFrame | None = None, close: Column | None = None) -> DataFrame:
     """Confirmed links (a, b) that connect whatever the buckets connect; ``members`` has (bucket, node).
 
     The candidates of a bucket are a star: its least node with all others. Links found join
@@ -52,7 +52,9 @@ def link_buckets(members: DataFrame, confirm: Callable[[DataFrame], DataFrame])
     that differs by bucket and round, is the centre of the next star. As soon as what is left is few pairs for each
     open member, or after STAR_ROUNDS, all pairs left between different components of a bucket
     are tested, so no link that would connect two components is lost. Pairs are tested once.
-    ``confirm`` gets distinct (a, b) with a < b and returns those that are linked.
+    ``confirm`` gets distinct (a, b) with a < b and returns those that are linked. ``traits`` has further
+    columns of each node, and ``close`` a condition on those of x and y (x.column, y.column)
+    without which the rest's pairs can't be links.
     """
     members = stored(members)
     links = tested = None
@@ -72,8 +74,14 @@ def link_buckets(members: DataFrame, confirm: Callable[[DataFrame], DataFrame])
                 break
             last = size["pairs"] <= REST_PAIRS * size["members"] or turn == STAR_ROUNDS
         if last:
-            x, y = opened.select("bucket", F.col("node").alias("x"), F.col("label").alias("xl")), opened.select("bucket", F.col("node").alias("y"), F.col("label").alias("yl"))
-            pairs = x.join(y, "bucket").where("x < y and xl <> yl").select(F.col("x").alias("a"), F.col("y").alias("b"))
+            # a pair comes from the first bucket that it shares only, so it is made once
+            shared = opened.groupBy("node").agg(F.collect_set("bucket").alias("own"))
+            if traits is not None:
+                shared = shared.join(traits, "node")
+            sides = [opened.join(shared, "node").withColumnsRenamed({c: f"{c}_{s}" for c in ("node", "label", "own")}) for s in "xy"]
+            once = (F.col("node_x") < F.col("node_y")) & (F.col("label_x") != F.col("label_y")) & (F.array_min(F.array_intersect("own_x", "own_y")) == F.col("x.bucket"))
+            once = once if close is None else once & close
+            pairs = sides[0].alias("x").join(sides[1].alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & once).select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
         else:
             pairs = opened.where("label <> cl").select(F.least("c", "node").alias("a"), F.greatest("c", "node").alias("b"))
         pairs = pairs.distinct()
