@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.arrays import codes_of, lengths_to_rows, lower_ascii, map_texts, mix64, space_words
+from corvane.llm.arrays import codes_of, lengths_to_rows, lower_ascii, map_texts, mix64, pieces, space_words
 from corvane.llm.components import components, link_buckets
 from corvane.llm.recovery import stored
 
@@ -27,6 +27,10 @@ BANDS, ROWS = 40, 6
 #: Per cent of the union that two sets share at least.
 SIMILARITY = 80
 
+#: In the last search of what the stars leave, two sets of at least LARGE_SET shingles are compared only if their
+#: signatures agree to within SLACK per cent of the least similarity: over four standard deviations of 240 bins.
+LARGE_SET, SLACK = 240, 15
+
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -94,9 +98,11 @@ def _signatures(k: int, bands: int, rows: int):
         for salt in (1, 2):  # a set's name: sums of two hashes of its elements
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(h * np.uint64(2 * salt + 1) + np.uint64(salt)), dtype=np.uint64)])
             keys.append(pa.array(mix64(total[at[1:]] - total[at[:-1]]).view(np.int64), mask=sizes == 0))
-        buckets = band_hashes(one_permutation(row, h, n, bands * rows), bands)
+        sig = one_permutation(row, h, n, bands * rows)
+        buckets = band_hashes(sig, bands)
+        sketch = pa.FixedSizeListArray.from_arrays(pa.array(sig.astype(np.uint8).view(np.int8).ravel()), bands * rows).cast(pa.list_(pa.int8()))
         flat = pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands, dtype=np.int32)), pa.array(buckets.ravel()))
-        return {"n_shingles": pa.array(sizes.astype(np.int64)), "set_1": keys[0], "set_2": keys[1], "buckets": flat}
+        return {"n_shingles": pa.array(sizes.astype(np.int64)), "set_1": keys[0], "set_2": keys[1], "buckets": flat, "sketch": sketch}
 
     return work
 
@@ -113,9 +119,8 @@ def _confirm(k: int, similarity: int):
                 at, h = shingle_hashes(texts.take(pa.array(list(new.values()))), k)
                 memo.update((i, h[at[j] : at[j + 1]]) for j, i in enumerate(new))
 
-        for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                batch = whole.slice(start, 256)
+        for half, _ in pieces(batches, "text_a", 1 << 20):
+            for batch, _ in pieces([half], "text_b", 1 << 20):
                 a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
                 sets_of(a, batch.column("text_a"))
                 sets_of(b, batch.column("text_b"))
@@ -125,7 +130,7 @@ def _confirm(k: int, similarity: int):
                     both = len(np.intersect1d(s, t, assume_unique=True))
                     linked.append(100 * both >= similarity * (len(s) + len(t) - both))
                 yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
-                while len(memo) > 512:
+                while len(memo) > 256:
                     memo.popitem(last=False)
 
     return run
@@ -146,7 +151,7 @@ def near_duplicates(
     share a bucket with another one, and pairs. Nothing is collected or broadcast by hint.
     """
     base = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
-    signed = stored(map_texts(base, _signatures(k, bands, rows), "n_shingles long, set_1 long, set_2 long, buckets array<long>", "__id", "__text"))
+    signed = stored(map_texts(base, _signatures(k, bands, rows), "n_shingles long, set_1 long, set_2 long, buckets array<long>, sketch array<tinyint>", "__id", "__text", limit=2 << 20))
     named = signed.where("n_shingles > 0")
     first = named.groupBy("set_1", "set_2").agg(F.min("__id").alias("node"))
     nodes = named.join(first, (named.set_1 == first.set_1) & (named.set_2 == first.set_2) & (named["__id"] == first.node), "left_semi")
@@ -161,7 +166,10 @@ def near_duplicates(
         with_b = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         return with_b.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(k, similarity), "a long, b long")
 
-    found = components(link_buckets(members, confirm), "a", "b")
+    traits = nodes.select(F.col("__id").alias("node"), "n_shingles", "sketch")
+    agree = F.expr("aggregate(zip_with(x.sketch, y.sketch, (p, q) -> int(p = q)), 0, (s, v) -> s + v)")
+    close = (F.least("x.n_shingles", "y.n_shingles") < LARGE_SET) | (100 * agree >= (similarity - SLACK) * bands * rows)
+    found = components(link_buckets(members, confirm, traits, close), "a", "b")
     of_set = first.join(found, "node", "left").select("set_1", "set_2", F.coalesce("component", "node").alias("component_id"))
     out = signed.join(of_set, ["set_1", "set_2"], "left").select("__id", "n_shingles", F.coalesce("component_id", "__id").alias("component_id"))
     return out.select(F.col("__id").alias(id_col), "n_shingles", "component_id", (F.col("__id") == F.col("component_id")).alias("kept"))
