@@ -11,6 +11,7 @@ document id and line number, stays.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator, Sequence
 
@@ -27,6 +28,8 @@ from corvane.llm.minhash import band_hashes, one_permutation
 from corvane.llm.recovery import join_small, release, stored
 
 SHINGLE, BANDS, ROWS, SIMILARITY = 8, 14, 5, 80
+#: Passes in which the bands are searched, each over its part of them.
+PASSES = 2
 
 
 def char_shingles(lines: Sequence[str], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -125,11 +128,14 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text")).where("__id is not null and __text is not null")
     lines = stored(base.mapInArrow(_lines(size, bands, rows), "__id long, line int, h1 long, h2 long, buckets array<long>"))
-    spread = lines.where(F.size("buckets") > 0).select(F.explode("buckets").alias("bucket"), F.col("h1").alias("node"))
-    shared = spread.groupBy("bucket").count().where("count > 1").select("bucket")
-    several = spread.join(shared, "bucket").distinct()
-    several = stored(several)
-    release(spark)
+    parts, step = [], -(-bands // PASSES)
+    for start in range(1, bands + 1, step):  # some bands at a time, so that only their rows are in shuffle files together
+        spread = lines.where(F.size("buckets") > 0).select(F.explode(F.slice("buckets", start, step)).alias("bucket"), F.col("h1").alias("node"))
+        shared = spread.groupBy("bucket").count().where("count > 1").select("bucket")
+        parts.append(stored(spread.join(shared, "bucket").distinct()))
+        del spread, shared
+        release(spark)
+    several = functools.reduce(DataFrame.union, parts)
     kinds = lines.groupBy("h1", "h2").agg(F.min(F.struct("__id", "line")).alias("at"), F.count("*").alias("n"))
     kinds = stored(kinds)
     clash = kinds.groupBy("h1").count().where("count > 1").select(F.col("h1").alias("node"))
@@ -167,7 +173,7 @@ def _rebuild(names: list[str], text_at: str):
                 n_lines.append(len(lines))
                 n_removed.append(len(away))
                 digests.append(hashlib.sha256((kept or "").encode()).hexdigest())
-            own = {"__new": pa.array(texts, pa.string()), "n_lines": pa.array(n_lines, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
+            own = {text_at: pa.array(texts, pa.string()), "n_lines": pa.array(n_lines, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
             yield pa.RecordBatch.from_arrays([own[c] if c in own else batch.column(c) for c in names], names)
 
     return run
@@ -189,11 +195,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = [c for c in dict.fromkeys(keep) if c not in results and c != id_col]
     gone = stored(repeated_lines(docs, id_col, text_col, **options))
     release(docs.sparkSession)
-    base = docs.select(F.col(id_col), *map(F.col, kept), F.col(text_col).cast("string").alias("__text"))
-    with_gone = join_small(base, gone, id_col, "left")
-    names = [id_col, *kept, "__new", "n_lines", "n_removed", "kept_sha256"]
-    kinds = {f.name: f.dataType.simpleString() for f in base.schema.fields} | {"__new": "string", "n_lines": "long", "n_removed": "long", "kept_sha256": "string"}
-    return with_gone.mapInArrow(_rebuild(names, text_col), ", ".join(f"`{c}` {kinds[c]}" for c in names)).withColumnRenamed("__new", text_col)
+    head = [f"__{i}" for i in range(len(kept) + 1)]  # own names inside, whatever the input's are
+    base = docs.select(F.col(text_col).cast("string"), F.col(id_col), *map(F.col, kept)).toDF("__text", *head)
+    with_gone = join_small(base, gone.withColumnRenamed(id_col, "__0"), "__0", "left").select("__text", *head, "gone")
+    names = [*head, *results]
+    kinds = {c: base.schema[c].dataType.simpleString() for c in head} | {text_col: "string", "n_lines": "long", "n_removed": "long", "kept_sha256": "string"}
+    return with_gone.mapInArrow(_rebuild(names, text_col), ", ".join(f"`{c}` {kinds[c]}" for c in names)).toDF(id_col, *kept, *results)
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_chars", **options) -> DataFrame:
