@@ -29,10 +29,12 @@ from pyspark.sql import functions as F
 
 from corvane.llm.arrays import mix64, pieces, utf8_buffer
 from corvane.llm.induced_sorting import permuted_common_prefixes, suffix_array
-from corvane.llm.recovery import join_small, release, stored
+from corvane.llm.recovery import release, stored
 
 WINDOW, GRAM = 100, 32
 SHARD_BYTES, HOT = 1 << 20, 20_000
+#: Over the windows of a context, so that a context's first window and their number share one number.
+SPAN = 4096
 #: Not a byte of UTF-8.
 SEPARATOR = 254
 
@@ -80,8 +82,8 @@ def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def contexts(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> dict[str, np.ndarray]:
-    """Row, anchor hash, context hash, and first and last window start in the row, of each context."""
-    empty = {k: np.zeros(0, np.int64) for k in ("row", "h", "c", "lo", "hi")}
+    """Row, anchor hash, context hash, and place (SPAN x the first window start in the row + the windows behind it) of each context."""
+    empty = {k: np.zeros(0, np.int64) for k in ("row", "h", "c", "place")}
     if len(data) < window:
         return empty
     rolling = RollingHash(data)
@@ -99,7 +101,7 @@ def contexts(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> d
     shift = (anchor[lo] - lo).astype(np.uint64) << np.uint64(32) | (ends - lo).astype(np.uint64)
     c = mix64(rolling.of(lo, ends + window) + mix64(shift + np.uint64(1)))
     at = offsets[row[lo]]
-    return {"row": row[lo], "h": h[anchor[lo]].view(np.int64), "c": c.view(np.int64), "lo": lo - at, "hi": ends - at}
+    return {"row": row[lo], "h": h[anchor[lo]].view(np.int64), "c": c.view(np.int64), "place": SPAN * (lo - at) + ends - lo}
 
 
 def _emit_contexts(window: int, gram: int):
@@ -204,30 +206,31 @@ def _each_window(window: int):
     return run
 
 
-def _first(df: DataFrame, keys: list[str]) -> DataFrame:
-    """keys -> the first (id, lo) of each, and how many; in two aggregates of plain numbers."""
-    per_doc = df.groupBy(*keys, "__id").agg(F.min("lo").alias("lo"), F.count("*").alias("n"))
-    return per_doc.groupBy(*keys).agg(F.min("__id").alias("first_id"), F.min_by("lo", "__id").alias("first_lo"), F.sum("n").alias("n"))
+def _first(df: DataFrame, keys: list[str], place: str) -> DataFrame:
+    """keys -> the first (id, place) of each, and how many; in two aggregates of plain numbers."""
+    per_doc = df.groupBy(*keys, "__id").agg(F.min(place).alias("at"), F.count("*").alias("n"))
+    return per_doc.groupBy(*keys).agg(F.min("__id").alias("first_id"), F.min_by("at", "__id").alias("first_at"), F.sum("n").alias("n"))
 
 
 def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(__id, lo, hi): window starts, from lo to hi, whose window starts earlier too; ``docs`` has (__id, __text)."""
     spark = docs.sparkSession
-    found = docs.where(F.octet_length("__text") >= window).mapInArrow(_emit_contexts(window, gram), "__id long, h long, c long, lo long, hi long")
+    found = docs.where(F.octet_length("__text") >= window).mapInArrow(_emit_contexts(window, gram), "__id long, h long, c long, place long")
     again = found.groupBy("h").count().where("count > 1").select("h")
     candidates = stored(found.join(again, "h"))
     release(spark)
-    firsts = stored(_first(candidates, ["h", "c"]))
-    several = firsts.where("n > 1").select("h", "c", "first_id", "first_lo")
-    copies = candidates.join(several, ["h", "c"]).where("__id <> first_id or lo <> first_lo").select("__id", "lo", "hi")
+    firsts = stored(_first(candidates, ["h", "c"], "place"))
+    several = firsts.where("n > 1").select("h", "c", "first_id", "first_at")
+    lo, hi = F.expr(f"place div {SPAN}").alias("lo"), F.expr(f"place div {SPAN} + place % {SPAN}").alias("hi")
+    copies = candidates.join(several, ["h", "c"]).where("__id <> first_id or place <> first_at").select("__id", lo, hi)
     groups = firsts.groupBy("h").count().where("count > 1").select("h", (F.col("count") > hot).alias("hot"))
-    open_ones = firsts.join(groups, "h").join(candidates.select("h", "c", F.col("__id").alias("first_id"), F.col("lo").alias("first_lo"), "hi"), ["h", "c", "first_id", "first_lo"])
-    wanted = open_ones.groupBy(F.col("first_id").alias("__id")).agg(F.collect_list(F.struct("h", F.col("first_lo").alias("lo"), "hi", "hot")).alias("wanted"))
-    shards = stored(join_small(docs, stored(wanted), "__id", limit=100_000).select("__id", "__text", "wanted").mapInArrow(_cut_contexts(window), "h long, __id long, lo long, hi long, hot boolean, bytes binary"))
+    open_ones = firsts.join(groups, "h").select("h", "hot", F.col("first_id").alias("__id"), F.col("first_at").alias("place"))
+    wanted = open_ones.groupBy("__id").agg(F.collect_list(F.struct("h", lo, hi, "hot")).alias("wanted"))
+    shards = stored(docs.join(wanted, "__id").select("__id", "__text", "wanted").mapInArrow(_cut_contexts(window), "h long, __id long, lo long, hi long, hot boolean, bytes binary"))
     release(spark)
     sorted_out = shards.where("not hot").select("h", "__id", "lo", "hi", "bytes").repartition("h").sortWithinPartitions("h").mapInArrow(_sort_shards(window), "__id long, lo long, hi long")
     single = shards.where("hot").select("__id", "lo", "bytes").mapInArrow(_each_window(window), "w1 long, w2 long, __id long, lo long")
-    repeated = single.join(_first(single, ["w1", "w2"]).where("n > 1"), ["w1", "w2"]).where("__id <> first_id or lo <> first_lo").select("__id", "lo", F.col("lo").alias("hi"))
+    repeated = single.join(_first(single, ["w1", "w2"], "lo").where("n > 1"), ["w1", "w2"]).where("__id <> first_id or lo <> first_at").select("__id", "lo", F.col("lo").alias("hi"))
     return copies.union(sorted_out).union(repeated)
 
 
@@ -270,13 +273,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     what any of them has. An empty table gives an empty result; long texts are read whole, in
     memory in proportion to their length.
 
-    The documents are shuffled only if more of them than a bound are concerned.
+    The documents are shuffled twice, for the contexts that are compared and for the result.
     """
     base = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
     ranges = repeated_ranges(base, window, gram, hot)
     by_doc = stored(ranges.groupBy("__id").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")))
     release(docs.sparkSession)
-    out = join_small(base, by_doc, "__id", "left", limit=50_000).select("__id", "__text", "ranges").mapInArrow(_remove(window), "__id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = base.join(by_doc, "__id", "left").select("__id", "__text", "ranges").mapInArrow(_remove(window), "__id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out.withColumnRenamed("__id", id_col)
 
 
