@@ -26,6 +26,7 @@ import unicodedata
 from bisect import bisect_right
 from collections.abc import Sequence
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from corvane.llm.arrays import map_texts
 
 #: Memoised words and arcs of a worker; both tables are emptied when they are full.
-WORD_MEMO, ARC_MEMO = 400_000, 1_000_000
+WORD_MEMO, ARC_MEMO = 250_000, 300_000
 
 END = "</w>"
 
@@ -224,7 +225,7 @@ def encode_documents(spark: SparkSession, docs: DataFrame, path: str | None = No
 
     def work(texts: pa.Array) -> dict:
         bpe = shared.value
-        n, id_hash, text_hash, all_ids, all_texts = [], [], [], [], []
+        n, id_hash, text_hash, raws, decoded_texts = [], [], [], [], []
         for text in texts.to_pylist():
             parts = bpe.encode_parts(text)
             raw, decoded = b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
@@ -232,13 +233,17 @@ def encode_documents(spark: SparkSession, docs: DataFrame, path: str | None = No
             id_hash.append(hashlib.sha256(raw).hexdigest())
             text_hash.append(hashlib.sha256(decoded.encode()).hexdigest())
             if ids:
-                all_ids.append(list(memoryview(raw).cast("I")) if raw else [])
-                all_texts.append(decoded)
+                raws.append(raw)
+                decoded_texts.append(decoded)
         out = {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(id_hash, pa.string()), "decoded_sha256": pa.array(text_hash, pa.string())}
-        return out | {"ids": pa.array(all_ids, pa.list_(pa.int32())), "decoded": pa.array(all_texts, pa.string())} if ids else out
+        if ids:  # the ids' bytes are the array's buffer
+            at = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+            flat = pa.Array.from_buffers(pa.int32(), sum(n), [None, pa.py_buffer(b"".join(raws))])
+            out |= {"ids": pa.ListArray.from_arrays(at, flat), "decoded": pa.array(decoded_texts, pa.string())}
+        return out
 
     fields = "n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return map_texts(docs, work, fields + (", ids array<int>, decoded string" if ids else ""), id_col, text_col)
+    return map_texts(docs, work, fields + (", ids array<int>, decoded string" if ids else ""), id_col, text_col, limit=1 << 20)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

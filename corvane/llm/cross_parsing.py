@@ -182,7 +182,8 @@ class CrossParser:
         h = self.entropies(points, at)
         best = np.argmin(h, axis=1)
         two = np.sort(h, axis=1)[:, :2]
-        score = two[:, 1] / (two[:, 0] + two[:, 1]) if h.shape[1] > 1 else np.ones(len(texts))
+        with np.errstate(invalid="ignore"):
+            score = two[:, 1] / (two[:, 0] + two[:, 1]) if h.shape[1] > 1 else np.ones(len(texts))
         known = n_letters > 0
         return [self.languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist(), strict=True)], np.where(known, score, 0.0)
 
@@ -210,7 +211,7 @@ def identify(docs: DataFrame, model: CrossParser, id_col: str = "doc_id", text_c
         lang, score = shared.value.predict(texts.to_pylist())
         return {"lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64())}
 
-    found = map_texts(docs, work, "lang_pred string, score double", id_col, text_col, [k for k in keep if k != "held_out"])
+    found = map_texts(docs, work, "lang_pred string, score double", id_col, text_col, [k for k in keep if k != "held_out"], limit=2 << 20)
     return found.select(*[c for c in found.columns if c not in ("lang_pred", "score")], held_out(id_col).alias("held_out"), "lang_pred", "score")
 
 
