@@ -12,7 +12,7 @@ CATEGORIES = {"A": "flow", "R": "back"}
 
 
 def edges(spark, sf):
-    """region contains nation contains supplier and customer; customer calls order; order calls supplier (few, by price)."""
+    """region contains nation contains supplier and customer; customer calls order; order is similar to the supplier of each of its lines."""
     t = lambda n: table(spark, sf, n)
     e = lambda df, s, d, k: df.select(F.concat(*s).alias("source"), F.concat(*d).alias("target"), F.lit(k).alias("type"))
     c = lambda x: F.col(x).cast("string")
@@ -21,8 +21,8 @@ def edges(spark, sf):
         e(t("nation"), [li("r"), c("n_regionkey")], [li("n"), c("n_nationkey")], "contains")
         .union(e(t("supplier"), [li("n"), c("s_nationkey")], [li("s"), c("s_suppkey")], "contains"))
         .union(e(t("customer"), [li("n"), c("c_nationkey")], [li("c"), c("c_custkey")], "contains"))
-        .union(e(t("orders").where("o_orderkey % 7 = 0"), [li("c"), c("o_custkey")], [li("o"), c("o_orderkey")], "calls"))
-        .union(e(t("lineitem").where("l_orderkey % 7 = 0 and l_linenumber = 1"), [li("o"), c("l_orderkey")], [li("s"), c("l_suppkey")], "similar"))
+        .union(e(t("orders"), [li("c"), c("o_custkey")], [li("o"), c("o_orderkey")], "calls"))
+        .union(e(t("lineitem"), [li("o"), c("l_orderkey")], [li("s"), c("l_suppkey")], "similar"))
     )
 
 
@@ -32,10 +32,10 @@ EDGES_SQL = """SELECT 'r' || n_regionkey AS source, 'n' || n_nationkey AS target
 
 
 def sparse(spark, sf):
-    """A sparse directed graph of suppliers with cycles and islands: each supplier's two heaviest orders' other suppliers."""
+    """A directed graph of suppliers: the supplier of each order line calls that of the order's next line."""
     li = table(spark, sf, "lineitem")
-    a = li.where("l_orderkey % 97 = 0").select("l_orderkey", F.col("l_suppkey").alias("source"), F.col("l_linenumber").alias("i"))
-    b = li.where("l_orderkey % 97 = 0").select("l_orderkey", F.col("l_suppkey").alias("target"), F.col("l_linenumber").alias("j"))
+    a = li.select("l_orderkey", F.col("l_suppkey").alias("source"), F.col("l_linenumber").alias("i"))
+    b = li.select("l_orderkey", F.col("l_suppkey").alias("target"), F.col("l_linenumber").alias("j"))
     return a.join(b, "l_orderkey").where("j = i + 1").select("source", "target", F.lit("calls").alias("type")).distinct()
 
 
