@@ -100,7 +100,7 @@ def queries() -> dict:
         "call_conservation": lambda s, d: K.conserves(K.resolve_calls(calls(s, d), decls(s, d), imports(s, d)), "outcome", calls(s, d)),
         "fact_edges": graph,
         "fact_edge_counts": lambda s, d: graph(s, d).groupBy("type", "stage").agg(F.count("*").alias("edges")),
-        "overlapping_steps": lambda s, d: K.overlap_join(calls(s, d).where("substring(path, -1) = '7'").select(F.concat_ws(":", "path", "line", "callee").alias("step"), "path", F.col("line").alias("start"), (F.col("line") + 8).alias("end")).distinct(), K.declaration_nodes(decls(s, d))),
+        "overlapping_steps": lambda s, d: K.overlap_join(calls(s, d).select(F.concat_ws(":", "path", "line", "callee").alias("step"), "path", F.col("line").alias("start"), (F.col("line") + 8).alias("end")).distinct(), K.declaration_nodes(decls(s, d))),
         "path_probe": lambda s, d: R.probe(table(s, d, "orders").select(F.col("o_orderkey").alias("ref"), F.concat(F.lit("o"), F.floor(F.col("o_orderkey") / 10).cast("string")).alias("base")), files(s, d), ["1", "2", "3"], ["index"]),
         "suffix_index": lambda s, d: R.suffix_index(supplier_paths(s, d)),
         "resolve_suffix": lambda s, d: R.resolve_suffix(table(s, d, "supplier").select(F.col("s_suppkey").alias("ref"), F.when(F.col("s_suppkey") % 3 == 0, F.col("s_name")).when(F.col("s_suppkey") % 3 == 1, F.concat(F.lit("NATION_1/"), "s_name")).otherwise(F.lit("nowhere")).alias("suffix")), supplier_paths(s, d)),

@@ -5,7 +5,8 @@ from collections import defaultdict
 import pyarrow.parquet as pq
 import pytest
 
-from corvane.plans import graph_queries
+from corvane.operators import facts
+from corvane.plans import fact_queries, graph_queries
 
 ORDERS = [(1, 3), (2, 3), (7, 4), (14, 5), (15, 4)]
 LINES = [(1, 1, 1), (1, 2, 2), (1, 3, 1), (2, 1, 2), (2, 2, 3), (7, 1, 4), (7, 2, 5), (14, 1, 5), (15, 1, 6), (15, 2, 4), (97, 1, 7), (97, 3, 8)]
@@ -117,3 +118,16 @@ def test_supplier_graph(spark, folder, tables):
     assert got("reading_order") == sorted(want)
     loose = {n for n in nodes if around[n] - {n}}
     assert got("communities_cover") == [(len(loose), len(loose), True)]
+
+
+def test_overlapping_steps(spark):
+    nodes = defaultdict(list)
+    for r in facts.declaration_nodes(fact_queries.decls(spark, SMALLEST)).collect():
+        nodes[r["path"]].append((r["id"], r["start"], r["end"]))
+    calls = {(f"o{o}", i * 10 + 5, f"f{s % 45}") for o, i, s in read(SMALLEST, "lineitem", "l_orderkey", "l_linenumber", "l_suppkey")}
+    want = []
+    for path, line, callee in calls:
+        hit = [n for n, start, end in nodes[path] if line <= end and start <= line + 8]
+        want += [(f"{path}:{line}:{callee}", n) for n in hit or [f"file:{path}"]]
+    got = fact_queries.queries()["overlapping_steps"](spark, SMALLEST).select("step", "id").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
