@@ -94,7 +94,7 @@ def queries() -> dict:
         "merged_nodes": lambda s, d: _merge(s, d)[0],
         "merged_edges": lambda s, d: _merge(s, d)[1],
         "merge_totals": lambda s, d: _merge(s, d)[2],
-        "verdict_overlay": lambda s, d: C.overlay(table(s, d, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 20).alias("summary")), table(s, d, "labels").select(F.col("doc_id").alias("id"), F.when(F.col("toxic") == 1, "contradicted").otherwise("verified").alias("verdict"), F.col("quality").alias("position"))),
+        "verdict_overlay": lambda s, d: C.overlay(table(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("summary")), table(s, d, "labels").select(F.col("doc_id").alias("id"), F.when(F.col("toxic") == 1, "contradicted").otherwise("verified").alias("verdict"), F.col("quality").alias("position"))),
         "verdict_bars": lambda s, d: table(s, d, "documents").join(table(s, d, "labels"), "doc_id", "left").groupBy(F.when(F.col("toxic") == 1, "does not").when(F.col("quality") == 1, "does").when(F.col("quality") == 0, "none").otherwise("not checked").alias("verdict")).agg(F.count("*").alias("n")),
         "rank_cuts": lambda s, d: _cuts(s, d),
     }
