@@ -4,37 +4,49 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.recovery import stored
+from corvane.llm.recovery import discard, stored
+from corvane.llm.set_pairs import search_cells
 
-#: The rest of a candidate search is finished pair by pair once it is at most so many pairs for each open member, or after so many stars of each bucket.
-REST_PAIRS = 20
-STAR_ROUNDS = 2
+#: Neighbours of a node beyond which its edges are handled apart; so there are at most edges / HUB such nodes.
+HUB = 1 << 20
+#: Members of a cell, and pairs for each member that the first search of a cell gives.
+BLOCK, PAIRS = 4096, 4
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
+def _hung(edges: DataFrame, of: DataFrame, hub: int, n_edges: int) -> DataFrame:
+    """``edges`` with the least neighbour m of their u in ``of``; the edges of hubs stay where they are, and the hubs go to them."""
+    least = of.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d")).withColumn("m", F.least("u", "m"))
+    if n_edges <= hub:
+        return edges.join(least.drop("d"), "u")
+    hubs = stored(least.where(F.col("d") > hub).drop("d"))
+    rest = edges.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(least.drop("d"), "u")
+    return rest.union(edges.join(F.broadcast(hubs), "u"))
+
+
+def components(edges: DataFrame, u: str = "u", v: str = "v", hub: int = HUB) -> DataFrame:
     """(node, component) for each node with an edge; a component is named by its least node.
 
     Union-find by alternating stars: each node hangs its larger neighbours, then its smaller
     ones, on the least of them, until nothing changes; that takes about log(longest path)
-    rounds. Each round is two aggregates with map-side minimum and joins on the node, so a
-    node with very many neighbours is never gathered.
+    rounds. Each round is two aggregates with map-side minimum and joins on the node. Nodes with over ``hub``
+    neighbours are broadcast to their edges instead (at most edges / hub of them), so the
+    neighbours of a node are never gathered in one task.
     """
     edges = stored(edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").distinct())
     before = _fingerprint(edges)
     while before[0]:
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        edges = stored(small)
+        large = _hung(both.where("v > u"), both, hub, before[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small = _hung(large, large, hub, before[0]).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        old, edges = edges, stored(small)
+        discard(old)
         now = _fingerprint(edges)
         if now == before:
             break
@@ -43,54 +55,52 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     return found.union(found.select(F.col("component").alias("node"), "component")).distinct()
 
 
-def link_buckets(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], traits: DataFrame | None = None, close: Column | None = None) -> DataFrame:
-    """Confirmed links (a, b) that connect whatever the buckets connect; ``members`` has (bucket, node).
+def _cells(labelled: DataFrame, block: int) -> DataFrame:
+    """(bucket, i, j, side, node, label): the members of buckets with several labels, dealt to cells in which all pairs of different labels meet.
 
-    The candidates of a bucket are a star: its least node with all others. Links found join
-    nodes to components, and only pairs between different components are of interest from
-    then on. While some bucket holds several components, another member of it, drawn by a hash
-    that differs by bucket and round, is the centre of the next star. As soon as what is left is few pairs for each
-    open member, or after STAR_ROUNDS, all pairs left between different components of a bucket
-    are tested, so no link that would connect two components is lost. Pairs are tested once.
-    ``confirm`` gets distinct (a, b) with a < b and returns those that are linked. ``traits`` has further
-    columns of each node, and ``close`` a condition on those of x and y (x.column, y.column)
-    without which the rest's pairs can't be links.
+    A bucket of up to ``block`` members is one cell. Of a larger one, the members with the most
+    frequent label are dealt to g cells' rows and the others to h; the former needn't meet each other. Main cells (g, h)
+    hold a part of either, the other cells a pair of parts of the others; so no cell holds more than about two blocks.
     """
-    members = stored(members)
-    links = tested = None
-    for turn in range(STAR_ROUNDS + 1):
-        if links is None:
-            labelled = members.withColumn("label", F.col("node"))
-        else:
-            labelled = members.join(components(links, "a", "b"), "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("label"))
-        rank = F.col("node") if not turn else F.xxhash64("node", "bucket", F.lit(turn))
-        heads = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by("node", rank).alias("c"), F.min_by("label", rank).alias("cl"), F.count("*").alias("n")).where("lo <> hi")
-        opened = labelled.join(heads.select("bucket", "c", "cl", "n"), "bucket")
-        last = False
-        if turn:
-            opened = stored(opened)
-            size = opened.groupBy("bucket", "label").agg(F.count("*").alias("k"), F.max("n").alias("n")).agg(F.sum(F.expr("k * (n - k) / 2")).alias("pairs"), F.sum("k").alias("members")).first()
-            if not size["members"]:
-                break
-            last = size["pairs"] <= REST_PAIRS * size["members"] or turn == STAR_ROUNDS
-        if last:
-            # a pair comes from the first bucket that it shares only, so it is made once
-            shared = opened.groupBy("node").agg(F.collect_set("bucket").alias("own"))
-            if traits is not None:
-                shared = shared.join(traits, "node")
-            sides = [opened.join(shared, "node").withColumnsRenamed({c: f"{c}_{s}" for c in ("node", "label", "own")}) for s in "xy"]
-            once = (F.col("node_x") < F.col("node_y")) & (F.col("label_x") != F.col("label_y")) & (F.array_min(F.array_intersect("own_x", "own_y")) == F.col("x.bucket"))
-            once = once if close is None else once & close
-            pairs = sides[0].alias("x").join(sides[1].alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & once).select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
-        else:
-            pairs = opened.where("label <> cl").select(F.least("c", "node").alias("a"), F.greatest("c", "node").alias("b"))
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs)
-        tested = pairs if tested is None else tested.union(pairs)
-        found = stored(confirm(pairs).select("a", "b"))
-        links = found if links is None else links.union(found)
-        if last:
-            break
-    return links
+    by_label = labelled.groupBy("bucket", "label").agg(F.count("*").alias("k"))
+    opened = by_label.groupBy("bucket").agg(F.sum("k").alias("n"), F.max("k").alias("k"), F.max_by("label", "k").alias("main"), F.count("*").alias("labels")).where("labels > 1")
+    opened = stored(opened.select("bucket", "n", "main", F.ceil(F.col("k") / block).alias("g"), F.ceil((F.col("n") - F.col("k")) / block).alias("h")))
+    salt = "pmod(xxhash64(node), %s)"
+    one = "array(struct(0L as i, 0L as j, 0 as side))"
+    main = f"transform(sequence(0L, h - 1), t -> struct({salt % 'g'} as i, -1L - t as j, 0 as side))"
+    other = f"concat(transform(sequence(0L, g - 1), t -> struct(t as i, -1L - {salt % 'h'} as j, 1 as side)), transform(sequence(0L, h - 1), t -> struct(least(t, {salt % 'h'}) as i, greatest(t, {salt % 'h'}) as j, if(t < {salt % 'h'}, 1, 0) as side)))"
+    dealt = labelled.join(opened, "bucket").select("bucket", "node", "label", F.explode(F.expr(f"if(n <= {block}, {one}, if(label = main, {main}, {other}))")).alias("c"))
+    return dealt.select("bucket", "c.i", "c.j", "c.side", "node", "label")
+
+
+def link_buckets(members: DataFrame, traits: DataFrame, confirm: Callable[[DataFrame], DataFrame], similarity: int, block: int = BLOCK, pairs_each: int = PAIRS) -> DataFrame:
+    """Confirmed links (a, b) that connect whatever the buckets connect.
+
+    ``members`` has distinct (bucket, node), ``traits`` (node, n, bits): the size and parity bitmap of each
+    node's set; both are stored. ``confirm`` gets distinct (a, b) with a < b and returns those that are linked.
+
+    First the candidates of a bucket are a star: its least node with all others. Links found
+    join nodes to components, and only pairs between different components of a bucket are of
+    interest from then on. They are compared by bitmaps where they lie, in cells of bounded size, and a cell
+    gives only pairs that the exact bound allows: all of them if they are at most ``pairs_each`` for each
+    member, or else one for each member, which join components, and then the bucket is searched again,
+    with twice as many allowed. So no link that would connect two components is lost, and pairs
+    that are left out are either proved too different or in one component already.
+    """
+    heads = stored(members.groupBy("bucket").agg(F.min("node").alias("c"), F.max("node").alias("hi")).where("c <> hi").select("bucket", "c"))
+    pairs = tested = stored(members.join(heads, "bucket").where("node <> c").select(F.col("c").alias("a"), F.col("node").alias("b")).distinct())
+    links = stored(confirm(pairs).select("a", "b"))
+    while True:
+        named = components(links, "a", "b")
+        labelled = stored(members.join(named, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("label")))
+        cells = _cells(labelled, block).join(traits, "node").select("bucket", "i", "j", "side", "node", "label", "n", "bits")
+        near = cells.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+        found = stored(near.mapInArrow(search_cells(similarity, pairs_each), "a long, b long, again boolean").groupBy("a", "b").agg(F.max("again").alias("again")))
+        again = bool(found.agg(F.max("again")).first()[0])
+        pairs = stored(found.select("a", "b").join(tested, ["a", "b"], "left_anti"))
+        discard(found, labelled)
+        tested = tested.union(pairs)
+        links = links.union(stored(confirm(pairs).select("a", "b")))
+        if not again:
+            return links
+        pairs_each *= 2

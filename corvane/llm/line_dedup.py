@@ -1,12 +1,13 @@
 """Fuzzy line deduplication by MinHash (operator 8).
 
-Lines are cut at line feeds. Equal lines are one node, named by a 64-bit hash of the text (two
-hashes tell lines apart; nodes whose texts differ under one name take no part in the fuzzy
-search). A node's character shingles make a MinHash signature whose bands are buckets; at
+Lines are cut at line feeds. Equal lines are one node, named by the first of two 64-bit hashes
+of the text. A node's character shingles make a MinHash signature whose bands are buckets; at
 the least similarity of 0.8, BANDS bands of ROWS values find a pair with probability
 1 - (1 - 0.8^5)^14 > 0.996, at 0.85 > 0.9997. Links are confirmed by the exact Jaccard
 similarity of the shingle sets, and of each component of linked lines the first one, by
-document id and line number, stays.
+document id and line number, stays. One changed character inside a line of 80 characters
+or more leaves it linked; shorter shingles, which would do so for shorter lines, make several times
+as many candidates.
 """
 
 from __future__ import annotations
@@ -25,23 +26,34 @@ from pyspark.sql import functions as F
 from corvane.llm.arrays import codes_of, lengths_to_rows, mix64, pieces
 from corvane.llm.components import components, link_buckets
 from corvane.llm.minhash import band_hashes, one_permutation
-from corvane.llm.recovery import join_small, release, stored
+from corvane.llm.recovery import discard, join_small, release, stored, trimmed
+from corvane.llm.set_pairs import distinct_elements, distinct_hashes, exact_windows, linked, parity_bitmaps
 
 SHINGLE, BANDS, ROWS, SIMILARITY = 8, 14, 5, 80
+#: An odd number whose powers modulo 2^64 tell places apart.
+BASE = 0x9E3779B97F4A7C15
 #: Passes in which the bands are searched, each over its part of them.
 PASSES = 2
 
 
+def polynomial(points: np.ndarray, size: int) -> np.ndarray:
+    """The value of each run of ``size`` numbers as a polynomial modulo 2^64, from runs of half the size."""
+    if size == 1:
+        return points
+    half = size // 2
+    left = polynomial(points, half)
+    right = left if size == 2 * half else polynomial(points, size - half)
+    n = max(0, len(points) - size + 1)
+    return left[:n] * np.uint64(pow(BASE, size - half, 1 << 64)) + right[half : half + n]
+
+
 def char_shingles(lines: Sequence[str], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """The row and hash of every shingle of ``size`` characters, repeated ones too; of the whole line if it is shorter, but not empty."""
     lengths = np.fromiter(map(len, lines), np.int64, len(lines))
     at = np.concatenate([[0], np.cumsum(lengths)])
     points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    base = np.uint64(0x100000001B3)
     n = max(0, len(points) - size + 1)
-    h = np.zeros(n, np.uint64)
-    for i in range(size):
-        h = h * base + points[i : n + i]
+    h = polynomial(points, size)
     row = lengths_to_rows(at)
     inside = row[:n] == row[size - 1 :] if n else np.zeros(0, bool)
     rows, hashes = row[:n][inside], h[inside]
@@ -81,42 +93,50 @@ def _lines(size: int, bands: int, rows: int):
                 ["__id", "line", "h1", "h2", "buckets"],
             )
 
-    return run
+    return lambda batches: trimmed(run(batches))
+
+
+def _texts_of_lines(size: int):
+    """Rows (text, wanted structs of line and node) -> (node, text of the line, size and bitmap of its set)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch, texts in pieces([whole], "__text", 2 << 20):
+                nodes, found = [], []
+                for text, wanted in zip(texts.to_pylist(), batch.column("wanted").to_pylist(), strict=True):
+                    lines = text.split("\n")
+                    nodes += [w["node"] for w in wanted]
+                    found += [lines[w["line"]] for w in wanted]
+                row, h = distinct_hashes(*char_shingles(found, size))
+                columns = [pa.array(nodes, pa.int64()), pa.array(found, pa.string()), pa.array(np.bincount(row, minlength=len(found)).astype(np.int64)), parity_bitmaps(row, h, len(found))]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "line_text", "n", "bits"])
+
+    return lambda batches: trimmed(run(batches))
 
-def _texts_of_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (text, wanted structs of line and node) -> (node, text of the line)."""
-    for batch in batches:
-        nodes, found = [], []
-        for text, wanted in zip(batch.column("__text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
-            lines = text.split("\n")
-            nodes += [w["node"] for w in wanted]
-            found += [lines[w["line"]] for w in wanted]
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(found, pa.string())], ["node", "line_text"])
+
+def char_sets(lines: Sequence[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and elements of each line's set of shingles, by numbers that are equal exactly where the characters are; a shorter line has one of its own."""
+    lengths = np.fromiter(map(len, lines), np.int64, len(lines))
+    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    known, code = np.unique(points, return_inverse=True)
+    key, row = exact_windows(code, len(known), size), lengths_to_rows(np.concatenate([[0], np.cumsum(lengths)]))
+    inside = row[: len(key)] == row[size - 1 :]
+    short = np.flatnonzero((lengths > 0) & (lengths < size))
+    row, key = distinct_elements(np.concatenate([row[: len(key)][inside], short]), np.concatenate([key[inside], -1 - short]))
+    return np.searchsorted(row, np.arange(len(lines) + 1)), key
 
 
 def _confirm(size: int, similarity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 1024):
-                batch = whole.slice(start, 1024)
-                code, known = codes_of(pa.concat_arrays([batch.column("text_a"), batch.column("text_b")]))
-                row, h = char_shingles(known.to_pylist(), size)
-                order = np.lexsort((h, row))
-                row, h = row[order], h[order]
-                fresh = np.ones(len(row), bool)
-                fresh[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
-                row, h = row[fresh], h[fresh]
-                at = np.searchsorted(row, np.arange(len(known) + 1))
-                n = batch.num_rows
-                linked = []
-                for x, y in zip(code[:n].tolist(), code[n:].tolist(), strict=True):
-                    s, t = h[at[x] : at[x + 1]], h[at[y] : at[y + 1]]
-                    both = len(np.intersect1d(s, t, assume_unique=True)) if len(s) and len(t) else 0
-                    linked.append(both > 0 and 100 * both >= similarity * (len(s) + len(t) - both))
-                yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
-
-    return run
+            for half, _ in pieces([whole], "text_a", 1 << 20):
+                for batch, _ in pieces([half], "text_b", 1 << 20):
+                    code, known = codes_of(pa.concat_arrays([batch.column("text_a"), batch.column("text_b")]))
+                    at, elements = char_sets(known.to_pylist(), size)
+                    n = batch.num_rows
+                    yield batch.select(["a", "b"]).filter(pa.array(linked(code[:n], code[n:], at, elements, similarity)))
+
+    return lambda batches: trimmed(run(batches))
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, similarity: int = SIMILARITY) -> DataFrame:
@@ -128,55 +148,82 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text")).where("__id is not null and __text is not null")
     lines = stored(base.mapInArrow(_lines(size, bands, rows), "__id long, line int, h1 long, h2 long, buckets array<long>"))
+    kinds = stored(lines.groupBy("h1", "h2").agg(F.min(F.struct("__id", "line")).alias("at"), F.count("*").alias("n")))
+    clash = stored(kinds.groupBy("h1").count().where("count > 1").select("h1"))
+    some = not clash.isEmpty()
+
+    def named(df: DataFrame) -> DataFrame:
+        """With a node for each text: its first hash, or a hash of both for the few (n^2 / 2^65) that share the first one."""
+        if not some:
+            return df.withColumn("node", F.col("h1"))
+        return df.join(F.broadcast(clash.withColumn("shared", F.lit(True))), "h1", "left").withColumn("node", F.when(F.col("shared"), F.xxhash64("h1", "h2")).otherwise(F.col("h1"))).drop("shared")
+
     parts, step = [], -(-bands // PASSES)
     for start in range(1, bands + 1, step):  # some bands at a time, so that only their rows are in shuffle files together
-        spread = lines.where(F.size("buckets") > 0).select(F.explode(F.slice("buckets", start, step)).alias("bucket"), F.col("h1").alias("node"))
-        shared = spread.groupBy("bucket").count().where("count > 1").select("bucket")
+        spread = named(lines.where(F.size("buckets") > 0)).select(F.explode(F.slice("buckets", start, step)).alias("bucket"), "node")
+        shared = stored(spread.groupBy("bucket").count().where("count > 1").select("bucket"))
+        release(spark)
         parts.append(stored(spread.join(shared, "bucket").distinct()))
+        discard(shared)
         del spread, shared
         release(spark)
     several = functools.reduce(DataFrame.union, parts)
-    kinds = lines.groupBy("h1", "h2").agg(F.min(F.struct("__id", "line")).alias("at"), F.count("*").alias("n"))
-    kinds = stored(kinds)
-    clash = kinds.groupBy("h1").count().where("count > 1").select(F.col("h1").alias("node"))
     open_buckets = several.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("bucket")
-    members = stored(several.join(open_buckets, "bucket", "left_semi").join(clash, "node", "left_anti").select("bucket", "node"))
+    members = stored(several.join(open_buckets, "bucket", "left_semi"))
+    discard(*parts)
 
-    wanted = members.select(F.col("node").alias("h1")).distinct().join(kinds, "h1").groupBy(F.col("at.__id").alias("__id")).agg(F.collect_list(F.struct(F.col("at.line").alias("line"), F.col("h1").alias("node"))).alias("wanted"))
-    texts = join_small(base, stored(wanted), "__id").select("__text", "wanted").mapInArrow(_texts_of_lines, "node long, line_text string")
-    texts = stored(texts.groupBy("node").agg(F.max("line_text").alias("line_text")))
+    first = named(kinds).join(members.select("node").distinct(), "node")
+    wanted = stored(first.groupBy(F.col("at.__id").alias("__id")).agg(F.collect_list(F.struct(F.col("at.line").alias("line"), "node")).alias("wanted")))
+    chosen = join_small(base, wanted, "__id", row_bytes=32 + 12 * F.size("wanted")).select("__text", "wanted").mapInArrow(_texts_of_lines(size), "node long, line_text string, n long, bits binary")
+    texts = stored(chosen.dropDuplicates(["node"]))
+    discard(wanted)
+    release(spark)
 
     def confirm(pairs: DataFrame) -> DataFrame:
         with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("line_text").alias("text_a")), "a")
         with_b = with_a.join(texts.select(F.col("node").alias("b"), F.col("line_text").alias("text_b")), "b")
         return with_b.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(size, similarity), "a long, b long")
 
-    group = components(link_buckets(members, confirm), "a", "b").select(F.col("node").alias("h1"), "component")
-    linked = kinds.join(group, "h1")
-    heads = linked.groupBy("component").agg(F.min("at").alias("stays"))
-    fuzzy = linked.join(heads, "component").select("h1", "h2", "stays")
-    exact = kinds.where("n > 1").join(group, "h1", "left_anti").select("h1", "h2", F.col("at").alias("stays"))
-    stays = fuzzy.union(exact)
+    group = components(link_buckets(members, texts.select("node", "n", "bits"), confirm, similarity), "a", "b")
+    discard(members, texts)
+    linked_lines = named(kinds).join(group, "node")
+    heads = linked_lines.groupBy("component").agg(F.min("at").alias("stays"))
+    fuzzy = linked_lines.join(heads, "component").select("h1", "h2", "stays")
+    exact = named(kinds.where("n > 1")).join(group, "node", "left_anti").select("h1", "h2", F.col("at").alias("stays"))
+    stays = stored(fuzzy.union(exact))
     gone = lines.select("__id", "line", "h1", "h2").join(stays, ["h1", "h2"]).where("__id <> stays.__id or line <> stays.line")
-    return gone.groupBy(F.col("__id").alias(id_col)).agg(F.sort_array(F.collect_set("line")).alias("gone"))
+    out = stored(gone.groupBy(F.col("__id").alias(id_col)).agg(F.sort_array(F.collect_set("line")).alias("gone")))
+    discard(stays, kinds, clash, lines)
+    release(spark)
+    return out
 
 
 def _rebuild(names: list[str], text_at: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch, _ in pieces(batches, "__text", 2 << 20):
             texts, n_lines, n_removed, digests = [], [], [], []
             for text, gone in zip(batch.column("__text").to_pylist(), batch.column("gone").to_pylist(), strict=True):
-                lines = (text or "").split("\n") if text else []
-                away = set(gone or ())
+                lines = text.split("\n") if text else []
+                away = {i for i in gone or () if i < len(lines)}
                 kept = text if not away else "\n".join([x for i, x in enumerate(lines) if i not in away])
                 texts.append(kept)
                 n_lines.append(len(lines))
                 n_removed.append(len(away))
                 digests.append(hashlib.sha256((kept or "").encode()).hexdigest())
-            own = {text_at: pa.array(texts, pa.string()), "n_lines": pa.array(n_lines, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
+            own = {"__kept": pa.array(texts, pa.string()), "__n_lines": pa.array(n_lines, pa.int64()), "__n_removed": pa.array(n_removed, pa.int64()), "__sha": pa.array(digests, pa.string())}
             yield pa.RecordBatch.from_arrays([own[c] if c in own else batch.column(c) for c in names], names)
 
-    return run
+    return lambda batches: trimmed(run(batches))
+
+
+def _rebuilt(docs: DataFrame, id_col: str, text_col: str, keep: Sequence[str], **options) -> DataFrame:
+    """``keep`` as __0, __1 ..., and __kept, __n_lines, __n_removed and __sha."""
+    gone = repeated_lines(docs, id_col, text_col, **options).withColumnRenamed(id_col, "__id")
+    head = [f"__{i}" for i in range(len(keep))]
+    base = docs.select(F.col(text_col).cast("string"), F.col(id_col).cast("long"), *map(F.col, keep)).toDF("__text", "__id", *head)
+    with_gone = join_small(base, gone, "__id", "left", row_bytes=32 + 4 * F.size("gone")).select("__text", *head, "gone")
+    kinds = {c: base.schema[c].dataType.simpleString() for c in head} | {"__kept": "string", "__n_lines": "long", "__n_removed": "long", "__sha": "string"}
+    return with_gone.mapInArrow(_rebuild(list(kinds), text_col), ", ".join(f"`{c}` {t}" for c, t in kinds.items()))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = (), **options) -> DataFrame:
@@ -188,28 +235,31 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alike. An empty table gives an empty result. Very long lines are shingled whole. A kept
     column that is called like a result gives way to it. Ids are integers.
 
-    The documents are shuffled for the last join only if more than BROADCAST_ROWS of them lose
-    lines; hot lines are counted before they are shuffled.
+    A row without an id is not compared and keeps all its lines. The documents are shuffled only for
+    rows that a check of their size finds too large to broadcast, twice at most; hot lines are counted before they are shuffled.
     """
     results = [text_col, "n_lines", "n_removed", "kept_sha256"]
     kept = [c for c in dict.fromkeys(keep) if c not in results and c != id_col]
-    gone = stored(repeated_lines(docs, id_col, text_col, **options))
-    release(docs.sparkSession)
-    head = [f"__{i}" for i in range(len(kept) + 1)]  # own names inside, whatever the input's are
-    base = docs.select(F.col(text_col).cast("string"), F.col(id_col), *map(F.col, kept)).toDF("__text", *head)
-    with_gone = join_small(base, gone.withColumnRenamed(id_col, "__0"), "__0", "left").select("__text", *head, "gone")
-    names = [*head, *results]
-    kinds = {c: base.schema[c].dataType.simpleString() for c in head} | {text_col: "string", "n_lines": "long", "n_removed": "long", "kept_sha256": "string"}
-    return with_gone.mapInArrow(_rebuild(names, text_col), ", ".join(f"`{c}` {kinds[c]}" for c in names)).toDF(id_col, *kept, *results)
+    out = _rebuilt(docs, id_col, text_col, [id_col, *kept], **options)
+    return out.toDF(id_col, *kept, *results)
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_chars", **options) -> DataFrame:
-    """The documents with the lines that stay and their own columns; ``count_col``, if there is one, is counted anew where lines went. Documents that lose their last word go."""
-    out = dedup_lines(docs, id_col, text_col, keep=docs.columns, **options)
-    out = out.where((F.col("n_removed") == 0) | F.col(text_col).rlike(r"[^\x09-\x0D\x20]"))
-    if count_col in docs.columns:
-        out = out.withColumn(count_col, F.when(F.col("n_removed") > 0, F.char_length(text_col)).otherwise(F.col(count_col)).cast(docs.schema[count_col].dataType))
-    return out.select(*docs.columns)
+    """The documents with the lines that stay and their own columns, whatever those are called.
+
+    ``count_col``, if there is one, is counted anew where lines went. Documents that lose their last
+    word go; null and empty texts, and rows without an id, stay as they are. Repeated rows are treated alike, of ties
+    the line of the least id and number stays, an empty table stays empty.
+    """
+    columns = docs.columns
+    out = _rebuilt(docs, id_col, text_col, columns, **options)
+    out = out.where((F.col("__n_removed") == 0) | F.col("__kept").rlike(r"[^\x09-\x0D\x20]"))
+    own = [F.col(f"__{i}") for i in range(len(columns))]
+    own[columns.index(text_col)] = F.col("__kept")
+    if count_col in columns:
+        at = columns.index(count_col)
+        own[at] = F.when(F.col("__n_removed") > 0, F.char_length("__kept")).otherwise(own[at]).cast(docs.schema[count_col].dataType)
+    return out.select(*own).toDF(*columns)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

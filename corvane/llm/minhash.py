@@ -4,14 +4,14 @@ One hash of each word shingle gives both its bin and its value; a bin keeps its
 and an empty bin takes that of a bin drawn by a hash of the bin and the attempt until it is
 not empty (optimal densification). ``BANDS`` bands of ``ROWS`` bins make the buckets: a pair
 at similarity 0.8 shares one with probability 1 - (1 - 0.8^6)^40 > 0.99999. Documents with
-equal sets are one node from the start; candidates are stars (see components.py) and each
-link is confirmed on the full sets.
+equal sets (128 bits of hashes) are one node from the start; candidates are the stars of
+buckets, and what those leave apart is compared by an exact bound (see components.py). Each
+link is confirmed on the words of the full sets.
 """
 
 from __future__ import annotations
 
-from collections import OrderedDict
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,23 +21,20 @@ from pyspark.sql import functions as F
 
 from corvane.llm.arrays import codes_of, lengths_to_rows, lower_ascii, map_texts, mix64, pieces, space_words
 from corvane.llm.components import components, link_buckets
-from corvane.llm.recovery import stored
+from corvane.llm.recovery import discard, release, stored, trimmed
+from corvane.llm.set_pairs import distinct_elements, exact_windows, linked, parity_bitmaps
 
 BANDS, ROWS = 40, 6
 #: Per cent of the union that two sets share at least.
 SIMILARITY = 80
 
-#: In the last search of what the stars leave, two sets of at least LARGE_SET shingles are compared only if their
-#: signatures agree to within SLACK per cent of the least similarity: over four standard deviations of 240 bins.
-LARGE_SET, SLACK = 240, 15
-
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def one_permutation(rows: np.ndarray, hashes: np.ndarray, n: int, bins: int) -> np.ndarray:
     """The densified signatures (n x bins) of the sets whose elements' hashes and rows are given."""
     sig = np.full(n * bins, NONE, np.uint64)
-    np.minimum.at(sig, rows * bins + (hashes >> np.uint64(32)).astype(np.int64) % bins, mix64(hashes))
+    np.minimum.at(sig, rows * bins + ((hashes >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64), mix64(hashes))
     sig = sig.reshape(n, bins)
     full = sig != NONE
     some = full.any(axis=1)
@@ -89,6 +86,17 @@ def shingle_hashes(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return at, np.concatenate(sets) if sets else full[:0]
 
 
+def word_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and elements of each text's set of shingles, by numbers that are equal exactly where the words are; a text of fewer words than ``k`` has one of its own."""
+    offsets, words = space_words(lower_ascii(texts))
+    code, known = codes_of(words)
+    key, row = exact_windows(code, len(known), k), lengths_to_rows(offsets)
+    inside = row[: len(key)] == row[k - 1 :]
+    short = np.flatnonzero((np.diff(offsets) > 0) & (np.diff(offsets) < k))
+    row, key = distinct_elements(np.concatenate([row[: len(key)][inside], short]), np.concatenate([key[inside], -1 - short]))
+    return np.searchsorted(row, np.arange(len(texts) + 1)), key
+
+
 def _signatures(k: int, bands: int, rows: int):
     def work(texts: pa.Array) -> dict:
         at, h = shingle_hashes(texts, k)
@@ -98,42 +106,26 @@ def _signatures(k: int, bands: int, rows: int):
         for salt in (1, 2):  # a set's name: sums of two hashes of its elements
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(h * np.uint64(2 * salt + 1) + np.uint64(salt)), dtype=np.uint64)])
             keys.append(pa.array(mix64(total[at[1:]] - total[at[:-1]]).view(np.int64), mask=sizes == 0))
-        sig = one_permutation(row, h, n, bands * rows)
-        buckets = band_hashes(sig, bands)
-        sketch = pa.FixedSizeListArray.from_arrays(pa.array(sig.astype(np.uint8).view(np.int8).ravel()), bands * rows).cast(pa.list_(pa.int8()))
+        buckets = band_hashes(one_permutation(row, h, n, bands * rows), bands)
         flat = pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands, dtype=np.int32)), pa.array(buckets.ravel()))
-        return {"n_shingles": pa.array(sizes.astype(np.int64)), "set_1": keys[0], "set_2": keys[1], "buckets": flat, "sketch": sketch}
+        return {"n_shingles": pa.array(sizes.astype(np.int64)), "set_1": keys[0], "set_2": keys[1], "buckets": flat, "bits": parity_bitmaps(row, h, n)}
 
     return work
 
 
 def _confirm(k: int, similarity: int):
-    """Rows (a, b, text_a, text_b) -> the linked (a, b). Sets are kept while a document comes again and again."""
+    """Rows (a, b, text_a, text_b) -> the linked (a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: OrderedDict[int, np.ndarray] = OrderedDict()
-
-        def sets_of(ids: Sequence, texts: pa.Array) -> None:
-            new = {i: j for j, i in enumerate(ids) if i not in memo}
-            if new:
-                at, h = shingle_hashes(texts.take(pa.array(list(new.values()))), k)
-                memo.update((i, h[at[j] : at[j + 1]]) for j, i in enumerate(new))
-
-        for half, _ in pieces(batches, "text_a", 1 << 20):
-            for batch, _ in pieces([half], "text_b", 1 << 20):
-                a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-                sets_of(a, batch.column("text_a"))
-                sets_of(b, batch.column("text_b"))
-                linked = []
-                for x, y in zip(a, b, strict=True):
-                    s, t = memo[x], memo[y]
-                    both = len(np.intersect1d(s, t, assume_unique=True))
-                    linked.append(100 * both >= similarity * (len(s) + len(t) - both))
-                yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
-                while len(memo) > 256:
-                    memo.popitem(last=False)
-
-    return run
+        for half, _ in pieces(batches, "text_a", 2 << 20):
+            for batch, _ in pieces([half], "text_b", 2 << 20):
+                n = batch.num_rows
+                both = pa.concat_arrays([batch.column("a"), batch.column("b")]).to_numpy(zero_copy_only=False)
+                _, first, which = np.unique(both, return_index=True, return_inverse=True)
+                at, elements = word_sets(pa.concat_arrays([batch.column("text_a"), batch.column("text_b")]).take(pa.array(first)), k)
+                yield batch.select(["a", "b"]).filter(pa.array(linked(which[:n], which[n:], at, elements, similarity)))
+
+    return lambda batches: trimmed(run(batches))
 
 
 def near_duplicates(
@@ -145,34 +137,42 @@ def near_duplicates(
     all of them as one; null texts and texts without words have none and are linked with
     nothing. Documents with equal sets, thousands of copies too, are one node and no pairs.
     Ids name documents: repeated rows each get a result row, and if texts differ under one id,
-    links are confirmed on the greatest of them. An empty table gives an empty result. Ids are integers.
+    links are confirmed on the greatest of them. A row without an id is linked with nothing, has no component and is kept.
+    An empty table gives an empty result. Ids are integers.
 
     Shuffled are: a set's name and buckets for each document, texts only of documents that
     share a bucket with another one, and pairs. Nothing is collected or broadcast by hint.
     """
+    spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
-    signed = stored(map_texts(base, _signatures(k, bands, rows), "n_shingles long, set_1 long, set_2 long, buckets array<long>, sketch array<tinyint>", "__id", "__text", limit=2 << 20))
-    named = signed.where("n_shingles > 0")
-    first = named.groupBy("set_1", "set_2").agg(F.min("__id").alias("node"))
-    nodes = named.join(first, (named.set_1 == first.set_1) & (named.set_2 == first.set_2) & (named["__id"] == first.node), "left_semi")
-    rows_of = nodes.select(F.explode("buckets").alias("bucket"), F.col("__id").alias("node"))
-    shared = rows_of.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("bucket")
-    members = stored(rows_of.join(shared, "bucket").distinct())
-    texts = base.join(members.select(F.col("node").alias("__id")).distinct(), "__id", "left_semi")
-    texts = stored(texts.groupBy(F.col("__id").alias("node")).agg(F.max("__text").alias("text")))
+    signed = stored(map_texts(base, _signatures(k, bands, rows), "n_shingles long, set_1 long, set_2 long, buckets array<long>, bits binary", "__id", "__text", limit=2 << 20))
+    first = signed.where("n_shingles > 0 and __id is not null").groupBy("set_1", "set_2").agg(F.min("__id").alias("node"), F.count("*").alias("n"))
+    first = stored(first)
+    # a set of one document is that document's; of the others the first one's row is taken
+    named = signed.where("n_shingles > 0 and __id is not null").join(first.where("n > 1").select("set_1", "set_2", "node"), ["set_1", "set_2"], "left")
+    nodes = stored(named.where("node is null or node = __id").select(F.col("__id").alias("node"), F.col("n_shingles").alias("n"), "buckets", "bits"))
+    spread = nodes.select(F.explode("buckets").alias("bucket"), "node")
+    shared = stored(spread.groupBy("bucket").count().where("count > 1").select("bucket"))
+    members = stored(spread.join(shared, "bucket").distinct())
+    del spread
+    release(spark)
+    own = members.select("node").distinct()
+    traits = stored(nodes.select("node", "n", "bits").join(own, "node").dropDuplicates(["node"]))
+    discard(nodes, shared)
+    texts = stored(base.join(own.withColumnRenamed("node", "__id"), "__id").groupBy(F.col("__id").alias("node")).agg(F.max("__text").alias("text")))
+    release(spark)
 
     def confirm(pairs: DataFrame) -> DataFrame:
         with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
         with_b = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         return with_b.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(k, similarity), "a long, b long")
 
-    traits = nodes.select(F.col("__id").alias("node"), "n_shingles", "sketch")
-    agree = F.expr("aggregate(zip_with(x.sketch, y.sketch, (p, q) -> int(p = q)), 0, (s, v) -> s + v)")
-    close = (F.least("x.n_shingles", "y.n_shingles") < LARGE_SET) | (100 * agree >= (similarity - SLACK) * bands * rows)
-    found = components(link_buckets(members, confirm, traits, close), "a", "b")
+    found = components(link_buckets(members, traits, confirm, similarity), "a", "b")
+    discard(members, traits, texts)
     of_set = first.join(found, "node", "left").select("set_1", "set_2", F.coalesce("component", "node").alias("component_id"))
-    out = signed.join(of_set, ["set_1", "set_2"], "left").select("__id", "n_shingles", F.coalesce("component_id", "__id").alias("component_id"))
-    return out.select(F.col("__id").alias(id_col), "n_shingles", "component_id", (F.col("__id") == F.col("component_id")).alias("kept"))
+    out = signed.select("__id", "n_shingles", "set_1", "set_2").join(of_set, ["set_1", "set_2"], "left")
+    component = F.when(F.col("__id").isNotNull(), F.coalesce("component_id", "__id"))
+    return out.select(F.col("__id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("__id") == component, F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:

@@ -322,7 +322,8 @@ def test_lines_against_brute_force(spark):
     docs = [(i, "\n".join(rng.choice([x, near(x), "", "short"]) for x in rng.choices(base, k=6))) for i in range(40)] + [(40, None), (41, "")]
     lines = [(i, k, x) for i, t in docs if t for k, x in enumerate(t.split("\n")) if x.strip(SPACE)]
     kinds = sorted({x for _, _, x in lines})
-    grams = {x: {x[i : i + 8] for i in range(len(x) - 7)} or {x} for x in kinds}
+    size = line_dedup.SHINGLE
+    grams = {x: {x[i : i + size] for i in range(len(x) - size + 1)} or {x} for x in kinds}
     group = {x: x for x in kinds}
     pairs = [(a, b, len(grams[a] & grams[b]) / len(grams[a] | grams[b])) for a, b in itertools.combinations(kinds, 2)]
     for _ in kinds:
