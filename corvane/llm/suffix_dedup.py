@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.arrays import mix64, pieces, utf8_buffer
 from corvane.llm.induced_sorting import permuted_common_prefixes, suffix_array
-from corvane.llm.recovery import release, stored
+from corvane.llm.recovery import discard, release, stored, trimmed
 
 WINDOW, GRAM = 100, 32
 SHARD_BYTES, HOT = 1 << 20, 20_000
@@ -81,11 +81,10 @@ def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def contexts(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> dict[str, np.ndarray]:
-    """Row, anchor hash, context hash, and place (SPAN x the first window start in the row + the windows behind it) of each context."""
-    empty = {k: np.zeros(0, np.int64) for k in ("row", "h", "c", "place")}
+def _runs(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple | None:
+    """The rolling hashes, the gram hashes, and by context: row, anchor, first and last window start; None without any."""
     if len(data) < window:
-        return empty
+        return None
     rolling = RollingHash(data)
     h = rolling.all(gram)
     keys = (h & ~_LOW) | (_LOW - np.arange(len(h), dtype=np.uint64))
@@ -96,12 +95,35 @@ def contexts(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> d
     new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1]) | ~inside[:-1]
     lo = np.flatnonzero(new & inside)
     if not len(lo):
-        return empty
-    ends = np.flatnonzero(inside & np.concatenate([new[1:] | ~inside[1:], [True]]))
-    shift = (anchor[lo] - lo).astype(np.uint64) << np.uint64(32) | (ends - lo).astype(np.uint64)
+        return None
+    return rolling, h, row[lo], anchor[lo], lo, np.flatnonzero(inside & np.concatenate([new[1:] | ~inside[1:], [True]]))
+
+
+def anchors(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> dict[str, np.ndarray]:
+    """The anchor hashes, and how many contexts each has."""
+    found = _runs(data, offsets, window, gram)
+    h, n = np.unique(found[1][found[3]].view(np.int64), return_counts=True) if found else (np.zeros(0, np.int64),) * 2
+    return {"h": h, "n": n}
+
+
+def contexts(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> dict[str, np.ndarray]:
+    """Row, anchor hash, context hash, and place (SPAN x the first window start in the row + the windows behind it) of each context."""
+    found = _runs(data, offsets, window, gram)
+    if not found:
+        return {k: np.zeros(0, np.int64) for k in ("row", "h", "c", "place")}
+    rolling, h, row, anchor, lo, ends = found
+    shift = (anchor - lo).astype(np.uint64) << np.uint64(32) | (ends - lo).astype(np.uint64)
     c = mix64(rolling.of(lo, ends + window) + mix64(shift + np.uint64(1)))
-    at = offsets[row[lo]]
-    return {"row": row[lo], "h": h[anchor[lo]].view(np.int64), "c": c.view(np.int64), "place": SPAN * (lo - at) + ends - lo}
+    return {"row": row, "h": h[anchor].view(np.int64), "c": c.view(np.int64), "place": SPAN * (lo - offsets[row]) + ends - lo}
+
+
+def _emit_anchors(window: int, gram: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in pieces(batches, "__text", (1 << 20) - 8):
+            found = anchors(*utf8_buffer(texts), window, gram)
+            yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)) for v in found.values()], [*found])
+
+    return lambda batches: trimmed(run(batches))
 
 
 def _emit_contexts(window: int, gram: int):
@@ -112,7 +134,7 @@ def _emit_contexts(window: int, gram: int):
             ids = batch.column("__id").to_numpy(zero_copy_only=False)[found.pop("row")]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array(v.astype(np.int64)) for v in found.values()]], ["__id", *found])
 
-    return run
+    return lambda batches: trimmed(run(batches))
 
 
 def _cut_contexts(window: int):
@@ -185,7 +207,7 @@ def _sort_shards(window: int):
         if rows:
             yield solve(rows)
 
-    return run
+    return lambda batches: trimmed(run(batches))
 
 
 def _each_window(window: int):
@@ -214,19 +236,31 @@ def _first(df: DataFrame, keys: list[str], place: str) -> DataFrame:
 
 def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(__id, lo, hi): window starts, from lo to hi, whose window starts earlier too; ``docs`` has (__id, __text)."""
+    if not 0 <= window - gram < SPAN:
+        raise ValueError(f"gram must be at most window, and over window - {SPAN}")
     spark = docs.sparkSession
-    found = docs.where(F.octet_length("__text") >= window).mapInArrow(_emit_contexts(window, gram), "__id long, h long, c long, place long")
-    again = found.groupBy("h").count().where("count > 1").select("h")
-    candidates = stored(found.join(again, "h"))
+    long_ones = docs.where(F.octet_length("__text") >= window)
+    again = stored(long_ones.select("__text").mapInArrow(_emit_anchors(window, gram), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"))
+    release(spark)
+    found = long_ones.mapInArrow(_emit_contexts(window, gram), "__id long, h long, c long, place long")
+    candidates = stored(found.join(again.hint("merge"), "h"))
+    discard(again)
+    del found
     release(spark)
     firsts = stored(_first(candidates, ["h", "c"], "place"))
+    release(spark)
     several = firsts.where("n > 1").select("h", "c", "first_id", "first_at")
     lo, hi = F.expr(f"place div {SPAN}").alias("lo"), F.expr(f"place div {SPAN} + place % {SPAN}").alias("hi")
-    copies = candidates.join(several, ["h", "c"]).where("__id <> first_id or place <> first_at").select("__id", lo, hi)
-    groups = firsts.groupBy("h").count().where("count > 1").select("h", (F.col("count") > hot).alias("hot"))
+    copies = stored(candidates.join(several.hint("merge"), ["h", "c"]).where("__id <> first_id or place <> first_at").select("__id", lo, hi))
+    discard(candidates)
+    release(spark)
+    groups = stored(firsts.groupBy("h").count().where("count > 1").select("h", (F.col("count") > hot).alias("hot")))
     open_ones = firsts.join(groups, "h").select("h", "hot", F.col("first_id").alias("__id"), F.col("first_at").alias("place"))
-    wanted = open_ones.groupBy("__id").agg(F.collect_list(F.struct("h", lo, hi, "hot")).alias("wanted"))
-    shards = stored(docs.join(wanted, "__id").select("__id", "__text", "wanted").mapInArrow(_cut_contexts(window), "h long, __id long, lo long, hi long, hot boolean, bytes binary"))
+    wanted = stored(open_ones.groupBy("__id").agg(F.collect_list(F.struct("h", lo, hi, "hot")).alias("wanted")))
+    discard(firsts, groups)
+    release(spark)
+    shards = stored(docs.join(wanted.hint("merge"), "__id").select("__id", "__text", "wanted").mapInArrow(_cut_contexts(window), "h long, __id long, lo long, hi long, hot boolean, bytes binary"))
+    discard(wanted)
     release(spark)
     sorted_out = shards.where("not hot").select("h", "__id", "lo", "hi", "bytes").repartition("h").sortWithinPartitions("h").mapInArrow(_sort_shards(window), "__id long, lo long, hi long")
     single = shards.where("hot").select("__id", "lo", "bytes").mapInArrow(_each_window(window), "w1 long, w2 long, __id long, lo long")
@@ -236,31 +270,29 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
 
 def _remove(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                batch = whole.slice(start, 512)
-                n_bytes, n_removed, n_spans, digests, kept_texts = [], [], [], [], []
-                for text, ranges in zip(batch.column("__text").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
-                    raw = (text or "").encode()
-                    kept, at, removed, spans = [], 0, 0, 0
-                    merged: list[list[int]] = []
-                    for r in sorted((r["lo"], r["hi"] + window) for r in ranges or ()):
-                        if merged and r[0] <= merged[-1][1]:
-                            merged[-1][1] = max(merged[-1][1], r[1])
-                        else:
-                            merged.append(list(r))
-                    for a, b in merged:
-                        kept.append(raw[at:a])
-                        at, removed, spans = b, removed + b - a, spans + 1
-                    rest = b"".join([*kept, raw[at:]])
-                    n_bytes.append(len(raw))
-                    n_removed.append(removed)
-                    n_spans.append(spans)
-                    digests.append(hashlib.sha256(rest).hexdigest())
-                    kept_texts.append(rest)
-                yield pa.RecordBatch.from_arrays([batch.column("__id"), *[pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)], pa.array(digests, pa.string()), pa.array(kept_texts, pa.binary())], ["__id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    return run
+        for batch, _ in pieces(batches, "__text", 2 << 20):
+            n_bytes, n_removed, n_spans, digests, kept_texts = [], [], [], [], []
+            for text, ranges in zip(batch.column("__text").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
+                raw = (text or "").encode()
+                kept, at, removed, spans = [], 0, 0, 0
+                merged: list[list[int]] = []
+                for r in sorted((r["lo"], min(r["hi"] + window, len(raw))) for r in ranges or () if r["lo"] < len(raw)):
+                    if merged and r[0] <= merged[-1][1]:
+                        merged[-1][1] = max(merged[-1][1], r[1])
+                    else:
+                        merged.append(list(r))
+                for a, b in merged:
+                    kept.append(raw[at:a])
+                    at, removed, spans = b, removed + b - a, spans + 1
+                rest = b"".join([*kept, raw[at:]])
+                n_bytes.append(len(raw))
+                n_removed.append(removed)
+                n_spans.append(spans)
+                digests.append(hashlib.sha256(rest).hexdigest())
+                kept_texts.append(rest)
+            yield pa.RecordBatch.from_arrays([batch.column("__id"), *[pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)], pa.array(digests, pa.string()), pa.array(kept_texts, pa.binary())], ["__id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+
+    return lambda batches: trimmed(run(batches))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
@@ -270,16 +302,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     in a document of a smaller id, or in the same one. Strings are judged on the input, and
     never cross documents. Null is the empty text; texts under ``window`` bytes keep all.
     Ids are distinct integers: rows that repeat an id count as one document's, and each loses
-    what any of them has. An empty table gives an empty result; long texts are read whole, in
-    memory in proportion to their length.
+    what any of them has, as far as it reaches. A row without an id is compared with nothing and keeps all.
+    An empty table gives an empty result; long texts are read whole, in memory in proportion to their length.
 
     The documents are shuffled twice, for the contexts that are compared and for the result.
     """
     base = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
-    ranges = repeated_ranges(base, window, gram, hot)
+    ranges = repeated_ranges(base.where("__id is not null"), window, gram, hot)
     by_doc = stored(ranges.groupBy("__id").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")))
     release(docs.sparkSession)
-    out = base.join(by_doc, "__id", "left").select("__id", "__text", "ranges").mapInArrow(_remove(window), "__id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = base.join(by_doc.hint("merge"), "__id", "left").select("__id", "__text", "ranges").mapInArrow(_remove(window), "__id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out.withColumnRenamed("__id", id_col)
 
 
