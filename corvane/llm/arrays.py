@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.recovery import small_batches
+from corvane.llm.recovery import small_batches, trimmed
 
 #: Text bytes that a worker handles at a time; one longer text is handled alone.
 PIECE_BYTES = 6 << 20
@@ -100,6 +100,12 @@ def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
+def with_own_names(docs: DataFrame, *needed: str) -> tuple[DataFrame, list[str]]:
+    """The table with its columns called __c0, __c1 ..., so that no result's name can meet one of them, and the new names of those that are needed."""
+    names = [f"__c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), [names[docs.columns.index(n)] for n in needed]
+
+
 def map_texts(
     df: DataFrame,
     work: Callable[[pa.Array], dict[str, Sequence]],
@@ -126,4 +132,4 @@ def map_texts(
             out = work(texts)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in first] + [x if isinstance(x, pa.Array) else pa.array(x) for x in (out[c] for c in names)], [*first, *names])
 
-    return inner.mapInArrow(run, ddl).toDF(id_col, *kept, *names)
+    return inner.mapInArrow(lambda batches: trimmed(run(batches)), ddl).toDF(id_col, *kept, *names)

@@ -6,9 +6,10 @@ extended, closes the phrase and leads to where the symbol starts a new one. The
 text falls into, each the longest match in the language's text, times the logarithm of that
 text's length and for each symbol, are the cross-parsing entropy. The language with the least wins.
 
-Symbols are letters and marks in lower case; each run of anything else is one separator. A text is
-parsed in stretches of ``STRETCH`` symbols, many at a time in step, so a phrase also ends at
-a stretch's end. That adds at most one phrase in 512 symbols, in all languages alike.
+Symbols are letters and marks in lower case, the bytes of letters that are rare in all languages
+together, and one separator for each run of anything else. Texts are parsed many at a time in step; one of
+over ``STRETCH`` symbols is parsed in stretches of that many, so that a phrase also ends at
+a stretch's end, which adds at most one phrase in 8192 symbols, in all languages alike.
 """
 
 from __future__ import annotations
@@ -24,14 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.arrays import lengths_to_rows, map_texts
+from corvane.llm.arrays import lengths_to_rows, map_texts, with_own_names
 from corvane.llm.training_rows import held_out, sample_texts
 
 #: Learnt from, for each language: at most so many texts, none over so many bytes, so many characters in all.
 SAMPLE, LONGEST, TRAINING = 64, 1 << 15, 40_000
-#: Characters learnt from over all languages, and letters with a symbol of their own.
-ALL_TRAINING, LETTERS = 1_000_000, 200
-STRETCH = 512
+#: Characters learnt from over all languages, and letters with a symbol of their own; the others are spelt by their bytes.
+ALL_TRAINING, LETTERS = 1_000_000, 120
+STRETCH = 8192
+#: Symbols that are parsed in step at a time, and texts.
+GRID, LANES = 1 << 21, 8192
 UNKNOWN = "und"
 
 SEPARATOR, OTHER = 0, 1
@@ -120,11 +123,15 @@ class CrossParser:
                     size += b - a
             streams.append(np.concatenate(own) if own else points[:most])
         counts = Counter(x for s in streams for x in s.tolist() if x)
-        self.symbols = {x: i for i, (x, _) in enumerate(sorted(counts.items(), key=lambda kv: (-kv[1], kv[0]))[:LETTERS], OTHER + 1)} | {0: SEPARATOR}
-        self.width = OTHER + 1 + len(self.symbols) - 1
+        common = sorted(counts, key=lambda x: (-counts[x], x))[:LETTERS]
+        rest = sorted({b for x in counts.keys() - set(common) for b in chr(x).encode("utf-8", "surrogatepass")})
+        self.symbols = {x: i for i, x in enumerate(common, OTHER + 1)} | {0: SEPARATOR}
+        self.bytes = {b: i for i, b in enumerate(rest, OTHER + 1 + len(common))}
+        self.width = OTHER + 1 + len(common) + len(rest)
+        streams = [self.spelt(s, np.array([0, len(s)]))[0] for s in streams]
         tables, base, self.roots, self.weights = [], 0, [], []
         for s in streams:
-            moves = suffix_automaton([self.symbols.get(x, OTHER) for x in s.tolist()])
+            moves = suffix_automaton(s.tolist())
             table = np.empty((len(moves), self.width), np.int64)
             start = np.full(self.width, base << 1 | 1, np.int64)  # an unseen symbol closes the phrase it ends
             for c, q in moves[0].items():
@@ -139,13 +146,29 @@ class CrossParser:
             base += table.size
         self.table = np.concatenate(tables).astype(np.int32 if base < 1 << 30 else np.int64) if tables else np.zeros(0, np.int32)
 
-    def entropies(self, points: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Phrases x log2(training length) / symbols, texts by languages; inf for empty texts."""
+    def spelt(self, points: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols of normalised texts, and their offsets."""
         if not hasattr(self, "codes"):
             self.codes = np.full(0x110000, OTHER, np.uint8)
             for x, i in self.symbols.items():
                 self.codes[x] = i
-        n, langs, codes = len(at) - 1, len(self.languages), self.codes[points]
+        codes = self.codes[points]
+        rare = np.flatnonzero(codes == OTHER)
+        if not len(rare):
+            return codes, at
+        spelt = [np.array([self.bytes.get(b, OTHER) for b in chr(x).encode("utf-8", "surrogatepass")], np.uint8) for x in points[rare].tolist()]
+        size = np.ones(len(points), np.int64)
+        size[rare] = [len(x) for x in spelt]
+        place = np.concatenate([[0], np.cumsum(size)])
+        out = np.repeat(codes, size)
+        into = np.repeat(place[rare], size[rare]) + np.concatenate([np.arange(len(x)) for x in spelt])
+        out[into] = np.concatenate(spelt)
+        return out, place[at]
+
+    def entropies(self, points: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Phrases x log2(training length) / symbols, texts by languages; inf for empty texts."""
+        codes, at = self.spelt(points, at)
+        n, langs = len(at) - 1, len(self.languages)
         sizes = np.diff(at)
         per_text = -(-sizes // STRETCH)
         owner = np.repeat(np.arange(n), per_text)
@@ -153,11 +176,12 @@ class CrossParser:
         length = np.minimum(STRETCH, at[owner + 1] - begin)
         order = np.argsort(-length, kind="stable")
         owner, begin, length = owner[order], begin[order], length[order]
-        active = np.searchsorted(-length, -np.arange(STRETCH), side="left")  # how many stretches are longer than t
+        active = np.searchsorted(-length, -np.arange(int(length[0]) if len(length) else 0), side="left")  # how many stretches are longer than t
         phrases = np.zeros((langs, n), np.int64)
         table, padded = self.table, np.concatenate([codes, np.zeros(STRETCH, np.uint8)])
-        for lo in range(0, len(owner), 8192):
-            hi = min(len(owner), lo + 8192)
+        lo = 0
+        while lo < len(owner):
+            hi = min(len(owner), lo + min(LANES, max(1, GRID // int(length[lo]))))
             grid = padded[begin[lo:hi, None] + np.arange(int(length[lo]))].T.astype(table.dtype, order="C")
             state = np.repeat(np.array(self.roots, table.dtype)[:, None], hi - lo, axis=1)
             count = np.ones((langs, hi - lo), np.int32)
@@ -168,6 +192,7 @@ class CrossParser:
                 state[:, :m] = step >> 1
             for k in range(langs):
                 phrases[k] += np.bincount(owner[lo:hi], count[k], minlength=n).astype(np.int64)
+            lo = hi
         with np.errstate(divide="ignore", invalid="ignore"):
             return np.where(sizes[:, None] > 0, phrases.T * np.array(self.weights) / sizes[:, None], np.inf)
 
@@ -216,10 +241,14 @@ def identify(docs: DataFrame, model: CrossParser, id_col: str = "doc_id", text_c
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The documents whose text has a language, with their own columns; rejected are those that are ``und``."""
-    columns = docs.columns
-    found = identify(docs, learn(docs, id_col, text_col, lang_col), id_col, text_col, keep=columns)
-    return found.where(F.col("lang_pred") != UNKNOWN).select(*columns)
+    """The documents whose text has a language, with their own columns, whatever those are called.
+
+    Rejected are those that are ``und``: null texts and texts without letters, and all where nothing can be learnt.
+    Ties go to the first language by name; repeated rows are treated alike; an empty table stays empty.
+    """
+    plain, (i, text, lang) = with_own_names(docs, id_col, text_col, lang_col)
+    found = identify(plain, learn(plain, i, text, lang), i, text, keep=plain.columns)
+    return found.where(F.col("lang_pred") != UNKNOWN).select(*plain.columns).toDF(*docs.columns)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
