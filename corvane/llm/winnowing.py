@@ -10,8 +10,10 @@ word by word, and spans of a window or more are hits.
 Words are compared through the benchmark's vocabulary: a document word outside it can't be in
 a hit, and the others have exact numbers, so no hash decides a result.
 
-The benchmark side is cut into blocks of ``BLOCK_BYTES`` of text at most, each of which is
-indexed on the driver and broadcast; the documents pass all blocks, one after the other.
+The benchmark side is cut into blocks of ``BLOCK_BYTES`` of text at most, one at a time of which is
+indexed on the driver and broadcast. One block is the rule, and then a single map does everything. With
+several, each block's pass over the documents gives only the documents that it hits, and
+those are joined with the documents in the end.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.arrays import from_utf8, lengths_to_rows, mix64, pieces, space_words, sums, utf8_buffer
-from corvane.llm.recovery import small_batches, stored
+from corvane.llm.arrays import from_utf8, lengths_to_rows, mix64, pieces, space_words, sums, utf8_buffer, with_own_names
+from corvane.llm.recovery import join_small, small_batches, stored, trimmed
 
 WINDOW, GRAM = 10, 5
 #: Benchmark text in one broadcast index.
@@ -142,11 +144,18 @@ class BenchmarkIndex:
         return begin, end
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> Iterator[list[tuple[str, str]]]:
-    """The distinct items, in blocks of a bounded size."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null and t is not null").distinct()
-    total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("b")).first()["b"]
-    n = max(1, -(-total // limit))
+def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    return benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null and t is not null").distinct()
+
+
+def _n_blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> int:
+    total = _items(benchmark, item_col, text_col).agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("b")).first()["b"]
+    return max(1, -(-total // limit))
+
+
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, n: int) -> Iterator[list[tuple[str, str]]]:
+    """The distinct items in n parts, of which one at a time is on the driver."""
+    items = _items(benchmark, item_col, text_col)
     for k in range(n):
         part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) if n > 1 else items
         yield sorted((r["i"], r["t"]) for r in part.collect())
@@ -170,9 +179,11 @@ def mark_hits(
     Null texts and texts without words have 0 of all; items that are null or without words are
     never hit, nor are items with a null id. Repeated items count by their distinct ids;
     repeated documents each get a row. With no items, or no documents, nothing is hit. A kept
-    column that is called like a result gives way to it. No shuffle: one map for each block of
-    the benchmark, with a checkpoint between maps when there is more than one.
+    column that is called like a result gives way to it. With one block no shuffle, one map; with
+    several a pass over the documents for each, and a join with the rows that were hit.
     """
+    if block_bytes < 1:
+        raise ValueError("block_bytes must be positive")
     spark = docs.sparkSession
     names = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "items"]
     kept = [c for c in dict.fromkeys(keep) if c not in names and c != id_col]
@@ -180,25 +191,39 @@ def mark_hits(
     fixed = ["__text", *head]
     small_batches(spark)
     df = docs.select(F.col(text_col).cast("string"), F.col(id_col), *map(F.col, kept), F.lit(None).cast("array<int>"), F.lit(None).cast("array<string>")).toDF(*fixed, "__at", "__items")
-    ddl = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in df.columns)
-    blocks = list(_blocks(benchmark, item_col, item_text_col, block_bytes)) if block_bytes else []
-    for k, block in enumerate(blocks):
-        index = spark.sparkContext.broadcast(BenchmarkIndex(block, window, gram))
+    found = "__at array<int>, __items array<string>"
 
-        def run(batches, index=index):
+    def search(index, out: list[str], all_rows: bool):
+        def run(batches):
             for batch, texts in pieces(batches, "__text", 2 << 20):
                 offsets, words = item_words(texts)
                 row = lengths_to_rows(offsets)
-                at, items = batch.column("__at").to_pylist(), batch.column("__items").to_pylist()
+                at: list = [None] * batch.num_rows
+                items: list = [None] * batch.num_rows
                 for a, b, item in index.value.find(offsets, words):
                     d = int(row[a])
                     at[d] = [*(at[d] or ()), a - int(offsets[d]), b - int(offsets[d])]
                     items[d] = [*(items[d] or ()), index.value.ids[item]]
-                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in fixed], pa.array(at, pa.list_(pa.int32())), pa.array([x and sorted(set(x)) for x in items], pa.list_(pa.string()))], [*fixed, "__at", "__items"])
-
-        df = df.mapInArrow(run, ddl)
-        if k + 1 < len(blocks):
-            df = stored(df)
+                got = pa.RecordBatch.from_arrays([*[batch.column(c) for c in out], pa.array(at, pa.list_(pa.int32())), pa.array([x and sorted(set(x)) for x in items], pa.list_(pa.string()))], [*out, "__at", "__items"])
+                yield got if all_rows else got.filter(pa.array([x is not None for x in at], pa.bool_()))
+
+        return lambda batches: trimmed(run(batches))
+
+    ddl = lambda columns, frame: ", ".join(f"`{c}` {frame.schema[c].dataType.simpleString()}" for c in columns)
+    n_blocks = _n_blocks(benchmark, item_col, item_text_col, block_bytes)
+    blocks = (spark.sparkContext.broadcast(BenchmarkIndex(block, window, gram)) for block in _blocks(benchmark, item_col, item_text_col, n_blocks))
+    if n_blocks == 1:
+        df = df.mapInArrow(search(next(blocks), fixed, True), f"{ddl(fixed, df)}, {found}")
+    else:
+        # a row's name: two hashes of its id and text, so that rows without an id or with a repeated one have theirs
+        named = df.select(*fixed, F.xxhash64("__0", "__text").alias("__n1"), F.xxhash64("__text", F.lit(1), "__0").alias("__n2"))
+        parts = None
+        for index in blocks:
+            hits = stored(named.mapInArrow(search(index, ["__n1", "__n2"], False), f"__n1 long, __n2 long, {found}").dropDuplicates(["__n1", "__n2"]))
+            index.unpersist()
+            parts = hits if parts is None else parts.union(hits)
+        together = stored(parts.groupBy("__n1", "__n2").agg(F.flatten(F.collect_list("__at")).alias("__at"), F.flatten(F.collect_list("__items")).alias("__items")))
+        df = join_small(named, together, ["__n1", "__n2"], "left", row_bytes=48 + 4 * F.size("__at") + 24 * F.size("__items")).select(*fixed, "__at", "__items")
 
     def finish(batches):
         for batch, texts in pieces(batches, "__text", 2 << 20):
@@ -228,14 +253,18 @@ def mark_hits(
 
     types = ["long", "long", "long", "string", "boolean", "array<int>", "array<string>"]
     results = [f"{n} {t}" for n, t in zip(names, types, strict=True)][: 7 if spans else 5]
-    out = df.mapInArrow(finish, ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in head] + results))
+    out = df.mapInArrow(lambda batches: trimmed(finish(batches)), ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in head] + results))
     return out.toDF(id_col, *kept, *names[: len(results)])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without any hit, with their own columns."""
-    columns = docs.columns
-    return mark_hits(docs, benchmark, keep=columns, **options).where("not contaminated").select(*columns)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents without any hit, with their own columns, whatever those are called.
+
+    Null and empty texts, and rows without an id, are kept unless they are hit; repeated rows are treated alike; an
+    empty table, or one against no items, stays as it is.
+    """
+    plain, (i, text) = with_own_names(docs, id_col, text_col)
+    return mark_hits(plain, benchmark, i, text, keep=plain.columns, **options).where("not contaminated").select(*plain.columns).toDF(*docs.columns)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
