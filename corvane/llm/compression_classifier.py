@@ -116,8 +116,9 @@ class CompressionClassifier:
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, longest: int = LONGEST) -> CompressionClassifier:
     """A classifier from a bounded sample of the labelled documents outside the held-out fold; labels that differ for one id count as the lower one."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).cast("int").alias("__label"))
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).where(~held_out("__id")).join(known, "__id")
-    found = sample_texts(rows, "__label", sample, longest, "__id", "__text")
+    own = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).where(~held_out("__id"))
+    rows = own.join(known, "__id")
+    found = sample_texts(rows, "__label", sample, longest, "__id", "__text", own)
     totals = {r["__label"]: r["count"] for r in rows.groupBy("__label").count().collect()}
     return CompressionClassifier([(c, t) for c, _, t in found], [totals.get(0, 0), totals.get(1, 0)])
 

@@ -28,11 +28,12 @@ def sample_ids(rows: DataFrame, class_col: str, per_class: int, id_col: str = "d
     return sorted((r["c"], r["i"]) for r in least.collect())
 
 
-def sample_texts(rows: DataFrame, class_col: str, per_class: int, longest: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple]:
+def sample_texts(rows: DataFrame, class_col: str, per_class: int, longest: int, id_col: str = "doc_id", text_col: str = "text", texts: DataFrame | None = None) -> list[tuple]:
     """(class, id, whole text) of the sampled rows, in the order of class and a hash of the id, without empty texts and those of over ``longest`` bytes.
 
     At most classes x per_class x longest bytes reach the driver. Of several rows with one
-    class and id the least text is taken.
+    class and id the least text is taken. If the class comes from another table, ``rows`` is the join and ``texts``
+    the table with id and text: the join then moves ids only, and the texts are read from ``texts``.
     """
     usable = rows.where(F.col(class_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & (F.octet_length(text_col).between(1, longest)))
     chosen = sample_ids(usable, class_col, per_class, id_col)
@@ -40,7 +41,11 @@ def sample_texts(rows: DataFrame, class_col: str, per_class: int, longest: int,
         return []
     kind = usable.schema
     wanted = rows.sparkSession.createDataFrame(chosen, f"`{class_col}` {kind[class_col].dataType.simpleString()}, `{id_col}` {kind[id_col].dataType.simpleString()}")
-    found = usable.select(class_col, id_col, text_col).join(F.broadcast(wanted), [class_col, id_col]).dropDuplicates([class_col, id_col, text_col]).collect()
+    if texts is None:
+        own = usable.select(class_col, id_col, text_col).join(F.broadcast(wanted), [class_col, id_col])
+    else:
+        own = texts.where(F.octet_length(text_col).between(1, longest)).select(id_col, text_col).join(F.broadcast(wanted), id_col)
+    found = own.select(class_col, id_col, text_col).dropDuplicates().collect()
     by_id: dict[tuple, str] = {}
     for c, i, text in found:
         by_id[c, i] = min(text, by_id.get((c, i), text))
