@@ -31,10 +31,10 @@ SYMBOLS = b"#*$%&|<>"
 
 #: By rule: the measure from the signals, and its cutoffs.
 RULES: dict[str, tuple[str, list[float]]] = {
-    "symbols": ("n_symbols / n_words", [0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0, 2.0]),
-    "long_words": ("word_chars / n_words", [5.5, 6.0, 6.5, 7.0, 7.5, 8.0, 9.0, 10.0]),
-    "dup_lines": ("n_dup_lines / n_lines", [0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5]),
-    "repeats": ("n_repeat_words / n_words", [0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.45]),
+    "symbols": ("n_symbols / nullif(n_words, 0)", [0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0, 2.0]),
+    "long_words": ("word_chars / nullif(n_words, 0)", [5.5, 6.0, 6.5, 7.0, 7.5, 8.0, 9.0, 10.0]),
+    "dup_lines": ("n_dup_lines / nullif(n_lines, 0)", [0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5]),
+    "repeats": ("n_repeat_words / nullif(n_words, 0)", [0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.45]),
 }
 
 SIGNALS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
@@ -125,10 +125,15 @@ def choose_cutoffs(counts: Sequence[tuple[str, str, int, int, int]], strata: int
     return chosen
 
 
+def stratum_key(column: str) -> Column:
+    """The name of a row's stratum: null has one of its own, apart from the empty string's."""
+    return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit(""))
+
+
 def learn_cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang", id_col: str = "doc_id", risk: float = RISK, error: float = ERROR) -> dict[tuple[str, str], float]:
     """Cutoffs from all labelled documents that pass the base rules; what reaches the driver is one count for each stratum, rule and cutoff."""
-    good = labels.where(f"{id_col} is not null and quality is not null").groupBy(id_col).agg(F.min("quality").alias("__good"))
-    rows = measured.where(~base_failed()).select(id_col, F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("s"), *[c.split()[0] for c in SIGNALS.split(", ")]).join(good, id_col)
+    good = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("__label_id")).agg(F.min("quality").alias("__good"))
+    rows = measured.where(~base_failed()).select(F.col(id_col).alias("__row_id"), stratum_key(stratum).alias("s"), *[c.split()[0] for c in SIGNALS.split(", ")]).join(good, F.col("__row_id") == F.col("__label_id"))
     passed = [F.expr(f"struct('{r}' as rule, " + " + ".join(f"int({m} > {c!r}D)" for c in cuts) + " as passed)") for r, (m, cuts) in RULES.items()]
     counts = rows.select("s", F.least(F.greatest("__good", F.lit(0)), F.lit(1)).alias("g"), F.explode(F.array(*passed)).alias("p")).groupBy("s", "p.rule", "p.passed", "g").count()
     found = [tuple(r) for r in counts.collect()]
@@ -142,7 +147,8 @@ def apply_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", keep:
     own. Without labels only the base rules apply. Labels of one id that differ count as the
     lower quality; repeated documents each get a row; an empty table gives an empty result.
     A kept column that is called like a result gives way to it. The texts are read once; the
-    counts go to the shared folder, as both the cutoffs and the verdicts need them.
+    counts go to the shared folder, as both the cutoffs and the verdicts need them. The plan holds one number
+    for each stratum and rule with a certified cutoff; a stratum needs hundreds of labels for that, so they are few.
     """
     renamed = docs.withColumn("__stratum", F.col(stratum).cast("string"))
     measured = stored(signals(renamed, [*keep, "__stratum"], id_col, text_col))
@@ -152,7 +158,7 @@ def apply_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", keep:
         own = {s: c for (s, r), c in cutoffs.items() if r == rule}
         if own:
             table = F.create_map(*[F.lit(x) for pair in sorted(own.items()) for x in pair])
-            over = F.expr(measure) > F.element_at(table, F.coalesce("__stratum", F.lit("")))
+            over = F.expr(measure) > F.try_element_at(table, stratum_key("__stratum"))
             failed.append(F.when(over, F.lit(rule)))
     verdict = F.array_compact(F.array(*failed)) if failed else F.array().cast("array<string>")
     out = measured.withColumn("base_failed", base_failed()).withColumn("failed_rules", verdict)
@@ -171,7 +177,7 @@ def _oracle() -> str:
     tests = sum(len(c) for _, c in RULES.values())
     rate = RISK / len(RULES)
     return rf"""
-WITH t AS (SELECT doc_id, coalesce(lang, '') AS s, coalesce(text, '') AS text FROM documents),
+WITH t AS (SELECT doc_id, coalesce('=' || lang, '') AS s, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, s, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM t),
 grams AS (SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) > 2)),
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM grams) WHERE n > 1),
