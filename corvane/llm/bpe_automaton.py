@@ -15,7 +15,11 @@ into ``gadgets``. That keeps the tables linear in the merges instead of quadrati
 walked (state, token) pair is looked up in a memo table after the first time.
 
 A word has one accepting path. It is found from left to right: every prefix has one path of
-its own, so a position needs a single (state, token).
+its own, so a position needs a single (state, token). The tokens that end at a position are
+read off a table of backward transitions over bytes (``back``), whose states are the endings of tokens.
+
+Words are split by the normaliser and pattern of the tokenizer file, with Python's Unicode tables. A
+text with code points that those don't know yet is split by the tokenizers library itself.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from corvane.llm.arrays import map_texts
 
 #: Memoised words and arcs of a worker; both tables are emptied when they are full.
-WORD_MEMO, ARC_MEMO = 250_000, 300_000
+WORD_MEMO, ARC_MEMO = 150_000, 300_000
 
 END = "</w>"
 
@@ -56,6 +60,10 @@ class TokenizationAutomaton:
         size = max(vocab.values()) + 1
         self.inner: dict[bytes, int] = {}
         self.final: dict[bytes, int] = {}
+        #: state << 8 | byte -> state, from the last byte of tokens to their first; the token that a state spells inside a word and at its end, or -1.
+        self.back: dict[int, int] = {}
+        self.spelt: list[int] = [-1]
+        self.spelt_last: list[int] = [-1]
         for token, i in vocab.items():
             ends = token.endswith(END) and len(token) > len(END)
             stem = token[: -len(END)] if ends else token
@@ -74,8 +82,25 @@ class TokenizationAutomaton:
         self.arcs: dict[int, bool] = {}
         for time, (a, b) in enumerate(merges, 1):
             self._gadget(time, vocab[a], vocab[b], vocab[a + b])
-        self.longest = max(map(len, [*self.inner, *self.final]), default=1)
+        for tokens, spelt in ((self.inner, self.spelt), (self.final, self.spelt_last)):
+            for stem, i in tokens.items():
+                spelt[self._ending(stem)] = i
+        self.raw = {i: i.to_bytes(4, "little") for i in self.labels}
         self.words: dict[str, tuple[bytes, str]] = {}
+        #: The word walked last, and its states and tokens by position.
+        self.walked: tuple[bytes, list[int], list[tuple[int, int]]] = (b"", [0], [(0, -1)])
+
+    def _ending(self, stem: bytes) -> int:
+        """The state of an ending, made if there is none."""
+        state = 0
+        for b in reversed(stem):
+            to = self.back.get(state << 8 | b)
+            if to is None:
+                to = self.back[state << 8 | b] = len(self.spelt)
+                self.spelt.append(-1)
+                self.spelt_last.append(-1)
+            state = to
+        return state
 
     def _gadget(self, time: int, u: int, v: int, w: int) -> None:
         self.born_token[w], self.left[w], self.dead[w] = time, u, not self._walk(self.target[u], v)
@@ -114,28 +139,47 @@ class TokenizationAutomaton:
         return known
 
     def encode_word(self, word: bytes) -> list[int]:
-        """The tokens of the one accepting path of a pre-split word."""
-        n, longest, target, has_arc = len(word), self.longest, self.target, self.has_arc
-        states, back = [0] * (n + 1), [(0, -1)] * (n + 1)
-        for end in range(1, n + 1):
-            find = (self.inner if end < n else self.final).get
-            for start in range(max(0, end - longest), end):
-                token = find(word[start:end])
-                if token is not None and has_arc(states[start], token):
-                    states[end], back[end] = target[token], (start, token)
+        """The tokens of the one accepting path of a pre-split word; what it shares with the word before it is walked once."""
+        n, target, step, arcs = len(word), self.target, self.back.get, self.arcs
+        before, states, came = self.walked
+        shared, most = 0, min(len(before), n) - 1
+        while shared < most and before[shared] == word[shared]:
+            shared += 1
+        states = states[: shared + 1] + [0] * (n - shared)
+        came = came[: shared + 1] + [(0, -1)] * (n - shared)
+        spelt = self.spelt
+        for end in range(shared + 1, n + 1):
+            if end == n:
+                spelt = self.spelt_last
+            at, start, found = 0, end, []
+            while start:
+                start -= 1
+                at = step(at << 8 | word[start])
+                if at is None:
+                    break
+                if spelt[at] >= 0:
+                    found.append((start, spelt[at]))
+            for place in reversed(found):
+                start, token = place
+                known = arcs.get(states[start] << 20 | token)
+                if known is None:
+                    known = self.has_arc(states[start], token)
+                if known:
+                    states[end], came[end] = target[token], place
                     break
             else:
                 raise ValueError("the vocabulary has no symbol for a byte of the word")
+        self.walked = word, states, came
         path = []
         while n:
-            n, token = back[n]
+            n, token = came[n]
             path.append(token)
         return path[::-1]
 
     def word(self, word: str) -> tuple[bytes, str]:
         """The ids as little-endian 32-bit integers, and the labels of their arcs, memoised."""
-        ids = self.encode_word(word.encode())
-        return b"".join(i.to_bytes(4, "little") for i in ids), self.decode(ids)
+        ids, raw, labels = self.encode_word(word.encode()), self.raw, self.labels
+        return b"".join([raw[i] for i in ids]), " ".join([labels[i] for i in ids])
 
     def decode(self, ids: Sequence[int]) -> str:
         """The labels of the arcs, with a space between; an id that isn't in the vocabulary has none."""
@@ -143,6 +187,26 @@ class TokenizationAutomaton:
         return " ".join(labels[i] for i in ids if i in labels)
 
 
+def unknown_points() -> regex.Pattern:
+    """Finds code points that Python's Unicode tables have no category for, so other tables may call them letters."""
+    ranges: list[list[int]] = []
+    for i in range(0x110000):
+        if unicodedata.category(chr(i)) == "Cn":
+            if ranges and ranges[-1][1] == i - 1:
+                ranges[-1][1] = i
+            else:
+                ranges.append([i, i])
+    return regex.compile("[" + "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in ranges) + "]")
+
+
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class WordBpe:
     """A tokenizer file of this kind: normaliser, splitter and automaton; special tokens stand for themselves."""
 
@@ -153,30 +217,48 @@ class WordBpe:
         self.automaton.labels |= {i: t for t, i in specials.items()}
         self.specials = {t: (i.to_bytes(4, "little"), t) for t, i in specials.items()}
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.rules = json.dumps({k: spec[k] for k in ("normalizer", "pre_tokenizer")})
         self._compile(split)
 
     def _compile(self, split: str) -> None:
         self.split = split
+        self.marks = sorted({t[0] for t in self.specials})
+        self.unknown = self.library = None
         self.find = regex.compile(split).findall
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) or r"(?!)")
 
     def __getstate__(self) -> dict:
-        return {"automaton": self.automaton, "specials": self.specials, "split": self.split}
+        return {"automaton": self.automaton, "specials": self.specials, "split": self.split, "rules": self.rules}
 
     def __setstate__(self, state: dict) -> None:
-        self.automaton, self.specials = state["automaton"], state["specials"]
+        self.automaton, self.specials, self.rules = state["automaton"], state["specials"], state["rules"]
         self._compile(state["split"])
 
     def words(self, text: str) -> list[str]:
         """Pre-split words of a text without special tokens: NFC, white space as one space, each character in lower case."""
         if not text.isascii():
+            if not _latin(text):
+                self.unknown = self.unknown or unknown_points()
+                if self.unknown.search(text):
+                    return self._library_words(text)
             text = unicodedata.normalize("NFC", text)
             text = text.replace("Σ", "σ")  # by characters, so a last sigma is like any other
         return self.find(text.lower())
 
+    def _library_words(self, text: str) -> list[str]:
+        """The same words, by the library's normaliser and its split."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            rules = json.loads(self.rules)
+            rules["pre_tokenizer"] = rules["pre_tokenizer"]["pretokenizers"][0]
+            whole = {"version": "1.0", "added_tokens": [], "model": {"type": "BPE", "vocab": {}, "merges": []}, **rules}
+            self.library = Tokenizer.from_str(json.dumps(whole))
+        return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
+
     def encode_parts(self, text: str) -> list[tuple[bytes, str]]:
         """For each word or special token its ids as bytes and its labels."""
-        if "<|" not in text:
+        if not any(c in text for c in self.marks):
             return self._parts(text)
         parts, at = [], 0
         for m in self.cut.finditer(text):
@@ -192,9 +274,8 @@ class WordBpe:
         except KeyError:
             if len(memo) > WORD_MEMO:
                 memo.clear()
-            for w in words:
-                if w not in memo:
-                    memo[w] = self.automaton.word(w)
+            for w in sorted({w for w in words if w not in memo}):  # neighbours share their first letters
+                memo[w] = self.automaton.word(w)
             return [memo[w] for w in words]
 
     def encode(self, text: str) -> list[int]:
