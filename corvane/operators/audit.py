@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.operators.changes import first_by, severity
+from corvane.session import ranked
 
 # Other names of node types that a repair maps to the type.
 TYPE_ALIASES = {"func": "function", "fn": "function", "method": "function", "interface": "class", "struct": "class", "mod": "module", "pkg": "module", "doc": "document", "docs": "document", "cfg": "config"}
@@ -65,22 +66,11 @@ def verify_anchors(claims: DataFrame, lines: DataFrame, slack: int = 1) -> DataF
 
 
 def sample_stride(rows: DataFrame, key: str, k: int) -> DataFrame:
-    """k rows at equal strides of the order by key: the rows at floor(i n / k).
-
-    Ranks come from counts by hash-free ranges: the rows are range-partitioned by key, and a
-    partition's first rank is the count of those before it, so no task sorts everything.
-    """
-    ranged = rows.repartitionByRange(key).withColumn("__p", F.spark_partition_id())
-    sizes = {r["__p"]: r["n"] for r in ranged.groupBy("__p").agg(F.count("*").alias("n")).collect()}
-    n, start, firsts = sum(sizes.values()), 0, {}
-    for p in sorted(sizes):
-        firsts[p], start = start, start + sizes[p]
-    if not n:
-        return rows
+    """k rows at equal strides of the order by key, whose values are distinct: the rows at floor(i n / k)."""
+    placed = ranked(rows, key)
+    n = placed.agg(F.count("*").alias("n")).first()["n"]
     wanted = sorted({i * n // min(k, n) for i in range(min(k, n))})
-    table = F.create_map(*[F.lit(x) for kv in firsts.items() for x in kv])
-    rank = F.element_at(table, F.col("__p")) + F.row_number().over(Window.partitionBy("__p").orderBy(key)) - 1
-    return ranged.withColumn("__r", rank).where(F.col("__r").isin(*wanted)).drop("__p", "__r")
+    return placed.where(F.col("__rank").isin(*wanted)).drop("__rank")
 
 
 def batches(rows: DataFrame, by: str, order: str, size: int) -> DataFrame:
@@ -115,19 +105,27 @@ def entry_points(lines: DataFrame, catalogue: Sequence[tuple[str, str, str]]) ->
     return lines.where(~comment).select("path", "line", hit.alias("h")).where("h is not null").select("path", "line", "h.kind", "h.framework")
 
 
-def shared_ranges(cited: DataFrame, most_features: int = 3) -> DataFrame:
+def _islands(ranges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, start, end): ranges of one key that overlap or touch, merged."""
+    w = Window.partitionBy(*keys).orderBy("start", "end")
+    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = ranges.withColumn("new", F.when(reach.isNull() | (F.col("start") > reach + 1), 1).otherwise(0))
+    return marked.withColumn("island", F.sum("new").over(w)).groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+
+
+def shared_ranges(cited: DataFrame, most_features: int = 3, bin_size: int = 64) -> DataFrame:
     """(path, a, b, start, end) of cited ranges (feature, path, start, end) of two features that overlap, merged; files that over ``most_features`` features cite are left out.
 
-    The rule bounds a file's pairs, so the self-join can't explode.
+    A feature's own ranges are merged first, so that those of one file and feature are apart. Ranges are dealt to
+    bins, and a pair meets in the first bin that both have, so a file with very many ranges is split.
     """
     few = cited.groupBy("path").agg(F.count_distinct("feature").alias("n")).where(F.col("n").between(2, most_features)).select("path")
-    c = cited.join(few, "path", "left_semi")
-    x, y = (c.select("path", F.col("feature").alias(n), F.col("start").alias(f"s{n}"), F.col("end").alias(f"e{n}")) for n in "ab")
-    both = x.join(y, "path").where("a < b and sa <= eb and sb <= ea").select("path", "a", "b", F.greatest("sa", "sb").alias("start"), F.least("ea", "eb").alias("end")).distinct()
-    w = Window.partitionBy("path", "a", "b").orderBy("start", "end")
-    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = both.withColumn("new", F.when(F.col("start") > F.coalesce(reach, F.lit(-2)) + 1, 1).otherwise(0))
-    return marked.withColumn("island", F.sum("new").over(w)).groupBy("path", "a", "b", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+    c = _islands(cited.join(few, "path", "left_semi").select("path", "feature", "start", "end").distinct(), ["path", "feature"])
+    binned = c.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / bin_size), F.floor(F.col("end") / bin_size))))
+    x, y = (binned.select("path", "bin", F.col("feature").alias(n), F.col("start").alias(f"s{n}"), F.col("end").alias(f"e{n}")) for n in "ab")
+    first = F.greatest(F.floor(F.col("sa") / bin_size), F.floor(F.col("sb") / bin_size))
+    both = x.join(y, ["path", "bin"]).where("a < b and sa <= eb and sb <= ea").where(F.col("bin") == first).select("path", "a", "b", F.greatest("sa", "sb").alias("start"), F.least("ea", "eb").alias("end"))
+    return _islands(both, ["path", "a", "b"])
 
 
 def mismatches(members: DataFrame) -> DataFrame:

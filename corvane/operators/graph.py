@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.session import checkpointed
+from corvane.session import checkpointed, ranked
 
 # Edge types that a traversal follows.
 FOLLOWED = ["contains", "imports", "exports", "calls", "inherits", "implements", "overrides", "mentions", "references", "injects", "routes", "invokes"]
@@ -259,11 +259,10 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def chunk_groups(groups: DataFrame, small: int = 3, size: int = 25) -> DataFrame:
-    """(member, batch): groups of fewer than ``small`` members pooled in chunks of ``size``, by member; others stay."""
+    """(member, batch): groups of fewer than ``small`` members pooled, in the order of members, in chunks of ``size``; others stay."""
     counted = groups.join(groups.groupBy("grp").agg(F.count("*").alias("n")), "grp")
-    pooled = counted.where(F.col("n") < small).select("member", F.pmod(F.xxhash64("member"), F.lit(64)).alias("pool"))
-    place = F.floor((F.row_number().over(Window.partitionBy("pool").orderBy("member")) - 1) / size)
-    return counted.where(F.col("n") >= small).select("member", F.concat(F.lit("g:"), F.col("grp").cast("string")).alias("batch")).unionByName(pooled.select("member", F.concat(F.lit("pool:"), "pool", F.lit(":"), place.cast("string")).alias("batch")))
+    pooled = ranked(counted.where(F.col("n") < small).select("member"), "member")
+    return counted.where(F.col("n") >= small).select("member", F.concat(F.lit("g:"), F.col("grp").cast("string")).alias("batch")).unionByName(pooled.select("member", F.concat(F.lit("pool:"), F.floor(F.col("__rank") / size).cast("string")).alias("batch")))
 
 
 def neighbours_outside(batches: DataFrame, edges: DataFrame, cap: int = 50) -> DataFrame:

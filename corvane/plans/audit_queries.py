@@ -38,6 +38,9 @@ def _cited(spark, sf):
     return table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("feature"), F.col("l_orderkey").alias("path"), (F.col("l_partkey") % 60).alias("start"), (F.col("l_partkey") % 60 + F.col("l_quantity").cast("long")).alias("end"))
 
 
+CITED = 'SELECT l_suppkey AS feature, l_orderkey AS path, l_partkey % 60 AS start, l_partkey % 60 + CAST(l_quantity AS BIGINT) AS "end" FROM lineitem'
+
+
 def _claims(spark, sf):
     return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 9 == 0, F.lit(-1)).otherwise(F.col("doc_id")).alias("path"), (F.col("doc_id") % 6 + 1).cast("int").alias("line"), F.lit("tion the").alias("token"))
 
@@ -81,6 +84,7 @@ def oracle_sql() -> dict[str, str]:
         "verdict_counts": f"WITH v AS ({_V}), k AS (SELECT * FROM v WHERE verdict <> 'odd' AND id % 5 > 0) SELECT (SELECT count(DISTINCT id) FROM k) AS applied, (SELECT count(*) FROM v WHERE verdict = 'odd') AS invalid, (SELECT count(*) FROM v WHERE verdict <> 'odd' AND id % 5 = 0) AS unknown, (SELECT count(*) - count(DISTINCT id) FROM k) AS duplicate",
         "quote_checks": "WITH u AS (SELECT doc_id AS unit, doc_id * 2 AS doc, CASE WHEN doc_id % 2 = 0 THEN '. The ' ELSE '(a|b) ' END AS quote FROM documents), j AS (SELECT unit, text, (length(text) - length(replace(text, quote, ''))) / length(quote) AS n FROM u LEFT JOIN documents d ON d.doc_id = u.doc) SELECT unit, CASE WHEN text IS NULL THEN 'missing-document' WHEN n = 0 THEN 'absent' WHEN n > 1 THEN 'repeated' ELSE 'once' END AS state FROM j",
         "entry_points": f"SELECT path, line, CASE WHEN contains(text, ' | ') THEN 'route' WHEN contains(text, '###') THEN 'page' WHEN contains(text, '$$$') THEN 'job' ELSE 'main' END AS kind, CASE WHEN contains(text, ' | ') THEN 'pipes' WHEN contains(text, '###') THEN 'marks' WHEN contains(text, '$$$') THEN 'money' ELSE 'plain' END AS framework FROM ({LINES}) WHERE NOT regexp_matches(trim(text), '^(//|#|\\*|/\\*|--)') AND (contains(text, ' | ') OR contains(text, '###') OR contains(text, '$$$') OR starts_with(text, 'The '))",
-        "dictionary_mismatches": "WITH l AS (SELECT c_nationkey AS app, replace(lower(c_mktsegment), '_', '') AS name, list(DISTINCT c_custkey % 50) AS v FROM customer WHERE c_nationkey < 8 GROUP BY 1, 2) SELECT x.name, x.app AS \"left\", y.app AS \"right\", CAST(len(list_filter(x.v, lambda i: NOT list_contains(y.v, i))) AS INTEGER) AS only_left, CAST(len(list_filter(y.v, lambda i: NOT list_contains(x.v, i))) AS INTEGER) AS only_right, CAST(len(list_filter(x.v, lambda i: list_contains(y.v, i))) AS INTEGER) AS both FROM l x JOIN l y ON x.name = y.name AND x.app < y.app",
+        "shared_ranges": f"WITH c AS ({CITED}), few AS (SELECT path FROM c GROUP BY 1 HAVING count(DISTINCT feature) BETWEEN 2 AND 3), x AS (SELECT DISTINCT a.path, a.feature AS a, b.feature AS b, greatest(a.start, b.start) AS start, least(a.\"end\", b.\"end\") AS \"end\" FROM c a JOIN c b ON a.path = b.path AND a.feature < b.feature AND a.start <= b.\"end\" AND b.start <= a.\"end\" WHERE a.path IN (SELECT path FROM few)), m AS (SELECT *, CASE WHEN start > coalesce(max(\"end\") OVER (PARTITION BY path, a, b ORDER BY start, \"end\" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -2) + 1 THEN 1 ELSE 0 END AS new FROM x), i AS (SELECT *, sum(new) OVER (PARTITION BY path, a, b ORDER BY start, \"end\" ROWS UNBOUNDED PRECEDING) AS island FROM m) SELECT path, a, b, min(start) AS start, max(\"end\") AS \"end\" FROM i GROUP BY path, a, b, island",
+        "dictionary_mismatches": "WITH l AS (SELECT c_nationkey AS app, replace(lower(c_mktsegment), '_', '') AS name, list(DISTINCT c_custkey % 50) AS v FROM customer GROUP BY 1, 2) SELECT x.name, x.app AS \"left\", y.app AS \"right\", CAST(len(list_filter(x.v, lambda i: NOT list_contains(y.v, i))) AS INTEGER) AS only_left, CAST(len(list_filter(y.v, lambda i: NOT list_contains(x.v, i))) AS INTEGER) AS only_right, CAST(len(list_filter(x.v, lambda i: list_contains(y.v, i))) AS INTEGER) AS both FROM l x JOIN l y ON x.name = y.name AND x.app < y.app",
         "verification_batches": "SELECT doc_id, source, CAST(floor((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) / 30) AS BIGINT) AS batch FROM documents",
     }

@@ -114,7 +114,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "manifest_diff": DIFF_SQL,
         "changed_in_inventory": f"SELECT * FROM ({DIFF_SQL}) WHERE change = 'removed' OR (path IN (SELECT path FROM ({MANIFEST_SQL})) AND NOT ends_with(path, '3'))",
-        "manifest_digest": f"WITH l AS (SELECT sha256(path || chr(9) || content_hash) AS d FROM ({MANIFEST_SQL})), p AS (SELECT d[1:2] AS p, sha256(string_agg(d, chr(10) ORDER BY d)) AS d, count(*) AS n FROM l GROUP BY 1) SELECT sha256(string_agg(d, chr(10) ORDER BY p)) AS digest, CAST(sum(n) AS BIGINT) AS entries FROM p",
+        "manifest_digest": f"WITH l AS (SELECT sha256(path || chr(9) || content_hash) AS d FROM ({MANIFEST_SQL})), q AS (SELECT d[1:5] AS p, sha256(string_agg(d, chr(10) ORDER BY d)) AS d, count(*) AS n FROM l GROUP BY 1), p AS (SELECT p[1:2] AS p, sha256(string_agg(d, chr(10) ORDER BY q.p)) AS d, sum(n) AS n FROM q GROUP BY 1) SELECT sha256(string_agg(d, chr(10) ORDER BY p)) AS digest, CAST(sum(n) AS BIGINT) AS entries FROM p",
         "duplicate_contents": f"SELECT content_hash, min(path) AS first_path, count(*) AS copies FROM ({MANIFEST_SQL}) GROUP BY 1 HAVING count(*) > 1",
         "fingerprint_levels": f"WITH {PRINTS_SQL} SELECT path, level FROM cmp",
         "change_analysis": f"WITH {PRINTS_SQL} SELECT level, files FROM levels",
@@ -128,7 +128,7 @@ def oracle_sql() -> dict[str, str]:
         "merged_nodes": "SELECT id, batch, position, state FROM (SELECT o_custkey AS id, CAST(year(o_orderdate) AS INTEGER) AS batch, o_orderkey AS position, o_orderstatus AS state, row_number() OVER (PARTITION BY o_custkey ORDER BY year(o_orderdate) DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1",
         "merged_edges": f"WITH {_EDGES} SELECT * FROM whole",
         "merge_totals": f"WITH {_EDGES} SELECT (SELECT count(*) FROM orders) AS nodes_in, (SELECT count(*) FROM ids) AS nodes_out, (SELECT count(*) FROM lineitem) AS edges_in, (SELECT count(*) FROM edges) AS edges_distinct, (SELECT count(*) FROM whole) AS edges_out",
-        "verdict_overlay": "SELECT d.doc_id AS id, CASE WHEN l.doc_id IS NULL THEN 'unchecked' WHEN toxic = 1 THEN 'contradicted' ELSE 'verified' END AS verdict, CASE WHEN toxic IS DISTINCT FROM 1 THEN substring(text, 1, 20) END AS summary FROM documents d LEFT JOIN labels l USING (doc_id)",
+        "verdict_overlay": "SELECT d.doc_id AS id, CASE WHEN l.doc_id IS NULL THEN 'unchecked' WHEN toxic = 1 THEN 'contradicted' ELSE 'verified' END AS verdict, CASE WHEN toxic IS DISTINCT FROM 1 THEN text END AS summary FROM documents d LEFT JOIN labels l USING (doc_id)",
         "verdict_bars": "SELECT CASE WHEN toxic = 1 THEN 'does not' WHEN quality = 1 THEN 'does' WHEN quality = 0 THEN 'none' ELSE 'not checked' END AS verdict, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1",
         "rank_cuts": "WITH f AS (SELECT l_suppkey, count(DISTINCT l_partkey) AS fan FROM lineitem GROUP BY 1), r AS (SELECT fan, row_number() OVER (ORDER BY fan DESC) AS d, row_number() OVER (ORDER BY fan) AS a, count(*) OVER () AS n FROM f) SELECT max(fan) FILTER (d = least(n, greatest(1, ceil(n * 0.1)))) AS top_cut, max(fan) FILTER (a = least(n, greatest(1, ceil(n * 0.25)))) AS bottom_cut FROM r",
     }

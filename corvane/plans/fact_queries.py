@@ -76,7 +76,7 @@ def chain(spark, sf):
     return p.select(F.col("k").alias("sub"), F.explode(F.array(F.floor(F.col("k") / 2), F.floor(F.col("k") / 3))).alias("super")).where("super > 0")
 
 
-CHAIN = "SELECT DISTINCT p_partkey AS sub, CAST(unnest([floor(p_partkey / 2), floor(p_partkey / 3)]) AS BIGINT) AS super FROM part WHERE p_partkey % 3 > 0"
+CHAIN = "SELECT DISTINCT p_partkey AS sub, CAST(unnest([floor(p_partkey / 2), floor(p_partkey / 3)]) AS BIGINT) AS super FROM part"
 CLOSURE = f"WITH RECURSIVE d AS (SELECT sub, super FROM ({CHAIN}) WHERE super > 0 AND sub <> super), c AS (SELECT sub, super, 1 AS depth FROM d UNION SELECT c.sub, d.super, depth + 1 FROM c JOIN d ON d.sub = c.super)"
 
 
@@ -126,7 +126,7 @@ def oracle_sql() -> dict[str, str]:
     probes = f"WITH t AS (SELECT o_orderkey AS ref, 'o' || CAST(floor(o_orderkey / 10) AS BIGINT) AS base FROM orders), c AS (SELECT ref, base || x AS path, i FROM t, (VALUES (0, ''), (1, '1'), (2, '2'), (3, '3'), (4, '/index')) v(i, x)) SELECT ref, arg_min(path, i) AS path FROM c WHERE path IN (SELECT path FROM ({FILES})) GROUP BY 1"
     suffixes = f"SELECT path, array_to_string(string_split(path, '/')[i:], '/') AS suffix FROM (SELECT path, unnest(range(1, len(string_split(path, '/')) + 1)) AS i FROM ({FILES_SQL}))"
     prefixes = "SELECT path, array_to_string(string_split(path, '/')[1:i], '/') AS prefix, i FROM (SELECT path, unnest(range(1, len(string_split(path, '/')) + 1)) AS i FROM ({f}))".format(f=FILES_SQL)
-    steps = f"SELECT DISTINCT path || ':' || line || ':' || callee AS step, path, line AS start, line + 8 AS \"end\" FROM ({CALLS}) WHERE ends_with(path, '7')"
+    steps = f"SELECT DISTINCT path || ':' || line || ':' || callee AS step, path, line AS start, line + 8 AS \"end\" FROM ({CALLS})"
     return {
         "ordinals": ORDS,
         "declaration_nodes": NODES,

@@ -27,8 +27,8 @@ def edges(spark, sf):
 
 
 EDGES_SQL = """SELECT 'r' || n_regionkey AS source, 'n' || n_nationkey AS target, 'contains' AS type FROM nation UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey, 'contains' FROM supplier
-  UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey, 'contains' FROM customer UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey, 'calls' FROM orders WHERE o_orderkey % 7 = 0
-  UNION ALL SELECT 'o' || l_orderkey, 's' || l_suppkey, 'similar' FROM lineitem WHERE l_orderkey % 7 = 0 AND l_linenumber = 1"""
+  UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey, 'contains' FROM customer UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey, 'calls' FROM orders
+  UNION ALL SELECT 'o' || l_orderkey, 's' || l_suppkey, 'similar' FROM lineitem"""
 
 
 def sparse(spark, sf):
@@ -39,7 +39,20 @@ def sparse(spark, sf):
     return a.join(b, "l_orderkey").where("j = i + 1").select("source", "target", F.lit("calls").alias("type")).distinct()
 
 
-SPARSE_SQL = "SELECT DISTINCT a.l_suppkey AS source, b.l_suppkey AS target FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_orderkey % 97 = 0"
+SPARSE_SQL = "SELECT DISTINCT a.l_suppkey AS source, b.l_suppkey AS target FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1"
+
+
+def halves(spark, sf):
+    """Parts as functions: each calls its half and its third."""
+    k = F.col("p_partkey")
+    return table(spark, sf, "part").select(k.alias("source"), F.explode(F.array(F.floor(k / 2), F.floor(k / 3))).alias("target")).where("target > 0")
+
+
+HALVES_SQL = "SELECT DISTINCT p_partkey AS source, unnest([p_partkey // 2, p_partkey // 3]) AS target FROM part"
+
+
+def part_nodes(spark, sf):
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("node"))
 
 
 def all_nodes(spark, sf):
@@ -72,6 +85,8 @@ def queries() -> dict:
         "distances": lambda s, d: G.levels(edges(s, d), _seeds(s, "o7"), types=None),
         "reachable": lambda s, d: G.reachable(sparse(s, d), all_nodes(s, d).where("node % 50 = 1")),
         "unreachable": lambda s, d: all_nodes(s, d).join(G.reachable(sparse(s, d), all_nodes(s, d).where("node % 50 = 1")), "node", "left_anti"),
+        "reachable_parts": lambda s, d: G.reachable(halves(s, d), part_nodes(s, d).where("node % 50 = 1")),
+        "unreachable_parts": lambda s, d: part_nodes(s, d).join(G.reachable(halves(s, d), part_nodes(s, d).where("node % 50 = 1")), "node", "left_anti"),
         "weak_components": lambda s, d: G.weak_components(all_nodes(s, d), sparse(s, d)),
         "strong_components": lambda s, d: G.strong_components(all_nodes(s, d), sparse(s, d)),
         "shortest_path_length": lambda s, d: G.shortest_path(edges(s, d), ["r0"], ["r3"], 8).agg((F.count("*") - 1).alias("hops")),
@@ -90,7 +105,7 @@ def queries() -> dict:
         "neighbours_outside": lambda s, d: G.neighbours_outside(table(s, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node"), F.col("s_nationkey").cast("string").alias("batch")), _supply(s, d)),
         "propagate_confidence": lambda s, d: G.propagate_least(all_nodes(s, d).withColumn("level", F.when(F.col("node") % 40 == 0, 0).when(F.col("node") % 9 == 0, 1).otherwise(2)), sparse(s, d).select("source", "target")),
         "communities_cover": lambda s, d: _cover(s, d),
-        "pooled_batches": lambda s, d: G.chunk_groups(table(s, d, "supplier").select(F.col("s_suppkey").alias("member"), (F.col("s_suppkey") % 60).alias("grp"))).groupBy("batch").agg(F.count("*").alias("members")).groupBy(F.col("batch").startswith("pool").alias("pooled")).agg(F.sum("members").alias("members"), F.max("members").alias("largest")),
+        "pooled_batches": lambda s, d: G.chunk_groups(table(s, d, "customer").select(F.col("c_custkey").alias("member"), F.floor(F.sqrt(F.col("c_custkey") * 20)).alias("grp"))),
     }
 
 
@@ -117,6 +132,7 @@ def oracle_sql() -> dict[str, str]:
     followed = f"e AS (SELECT * FROM ({EDGES_SQL}) WHERE type <> 'similar'), {both}"
     hop = lambda pre, seed, limit: f"WITH RECURSIVE {pre}, r AS (SELECT '{seed}' AS node, 0 AS hop UNION SELECT b.y, r.hop + 1 FROM r JOIN b ON b.x = r.node WHERE r.hop < {limit}) SELECT node, CAST(min(hop) AS INTEGER) AS hop FROM r GROUP BY node"
     reach = f"WITH RECURSIVE e AS ({SPARSE_SQL}), r AS (SELECT s_suppkey AS node FROM supplier WHERE s_suppkey % 50 = 1 UNION SELECT e.target FROM r JOIN e ON e.source = r.node)"
+    below = f"WITH RECURSIVE e AS (SELECT * FROM ({HALVES_SQL}) WHERE target > 0), r AS (SELECT p_partkey AS node FROM part WHERE p_partkey % 50 = 1 UNION SELECT e.target FROM r JOIN e ON e.source = r.node)"
     closure = f"WITH RECURSIVE e AS ({SPARSE_SQL}), {both}, r AS (SELECT s_suppkey AS node, s_suppkey AS reached FROM supplier UNION SELECT r.node, b.y FROM r JOIN b ON b.x = r.reached)"
     forward = f"WITH RECURSIVE e AS ({SPARSE_SQL}), r AS (SELECT s_suppkey AS node, s_suppkey AS reached FROM supplier UNION SELECT r.node, e.target FROM r JOIN e ON e.source = r.reached)"
     lifted = f"l AS (SELECT a.path AS f, b.path AS t FROM ({SUPPLY_SQL}) e LEFT JOIN ({PLACED_SQL}) a ON a.id = e.source LEFT JOIN ({PLACED_SQL}) b ON b.id = e.target)"
@@ -125,8 +141,12 @@ def oracle_sql() -> dict[str, str]:
     return {
         "one_hop": f"WITH {near} SELECT node FROM h",
         "bounded_bfs": hop(followed, "r1", 2),
+        "distances": hop(f"e AS ({EDGES_SQL}), {both}", "o7", 16),
+        "shortest_path_length": f"SELECT coalesce(min(hop), -1)::BIGINT AS hops FROM ({hop(f'e AS ({EDGES_SQL}), {both}', 'r0', 8)}) WHERE node = 'r3'",
         "reachable": f"{reach} SELECT node FROM r",
         "unreachable": f"{reach} SELECT s_suppkey AS node FROM supplier WHERE s_suppkey NOT IN (SELECT node FROM r)",
+        "reachable_parts": f"{below} SELECT node FROM r",
+        "unreachable_parts": f"{below} SELECT p_partkey AS node FROM part WHERE p_partkey NOT IN (SELECT node FROM r)",
         "weak_components": f"{closure} SELECT node, min(reached) AS component FROM r GROUP BY node",
         "strong_components": f"{forward} SELECT a.node, min(a.reached) AS component FROM r a JOIN r b ON a.node = b.reached AND a.reached = b.node GROUP BY a.node",
         "file_graph": f"WITH {lifted} SELECT DISTINCT f AS source, t AS target FROM l WHERE f <> t",
@@ -141,5 +161,6 @@ def oracle_sql() -> dict[str, str]:
         "affected_nodes": f"WITH n AS ({PLACED_SQL}), c AS (SELECT id FROM n WHERE path IN ('ASIA', 'f3')), e AS ({SUPPLY_SQL}), a AS (SELECT target AS id FROM e WHERE source IN (SELECT id FROM c) UNION SELECT source FROM e WHERE target IN (SELECT id FROM c)) SELECT 'changed' AS state, count(*) AS nodes FROM c UNION ALL SELECT 'affected', count(*) FROM a WHERE id NOT IN (SELECT id FROM c) AND id IN (SELECT id FROM n)",
         "induced_edges": f"WITH {near} SELECT source, target, type FROM ({EDGES_SQL}) WHERE source IN (SELECT node FROM h) AND target IN (SELECT node FROM h)",
         "neighbours_outside": f"WITH d AS (SELECT CAST(s_nationkey AS VARCHAR) AS batch, 'p' || l_partkey AS neighbour, count(*) AS degree FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2) SELECT batch, neighbour, degree FROM d QUALIFY row_number() OVER (PARTITION BY batch ORDER BY degree DESC, neighbour) <= 50",
+        "pooled_batches": "WITH g AS (SELECT c_custkey AS member, CAST(floor(sqrt(c_custkey * 20)) AS BIGINT) AS grp FROM customer), n AS (SELECT member, grp, count(*) OVER (PARTITION BY grp) AS n FROM g) SELECT member, 'g:' || grp AS batch FROM n WHERE n >= 3 UNION ALL SELECT member, 'pool:' || CAST(floor((row_number() OVER (ORDER BY member) - 1) / 25) AS BIGINT) FROM n WHERE n < 3",
         "propagate_confidence": f"{forward}, l AS (SELECT s_suppkey AS node, CASE WHEN s_suppkey % 40 = 0 THEN 0 WHEN s_suppkey % 9 = 0 THEN 1 ELSE 2 END AS level FROM supplier) SELECT r.reached AS node, CAST(min(level) AS INTEGER) AS level FROM r JOIN l ON l.node = r.node GROUP BY 1",
     }

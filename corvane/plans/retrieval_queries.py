@@ -59,7 +59,7 @@ def queries() -> dict:
         "recall_page": lambda s, d: R.page(R.merge_candidates(_candidates(s, d)), [F.desc("score"), F.col("key")], 50, 50),
         "vector_top10": lambda s, d: R.vector_search(table(s, d, "embeddings"), VECTOR, 10, 0.05),
         "vector_top10_by_type": lambda s, d: R.vector_search(table(s, d, "embeddings"), VECTOR, 10, 0.0, [1, 3]),
-        "fuzzy_search": lambda s, d: R.fuzzy_search(table(s, d, "part"), "goldenrod lavender", {"p_name": 0.4, "p_type": 0.3, "p_brand": 0.2}, "p_partkey"),
+        "fuzzy_search": lambda s, d: R.fuzzy_search(table(s, d, "part"), "smal widgit", {"p_name": 0.4, "p_type": 0.3, "p_brand": 0.2}, "p_partkey"),
         "section_search": lambda s, d: R.section_search(table(s, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("section"), "text"), ["the", "tion"]),
         "read_evidence": lambda s, d: R.read_evidence(table(s, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "text"), 2, 3, 500),
         "index_update": lambda s, d: _updated(s, d),
@@ -76,7 +76,16 @@ def _updated(spark, sf):
 
 def oracle_sql() -> dict[str, str]:
     lits = ", ".join(f"('{t}')" for t in LITERALS)
+    def near(c):
+        words = f"regexp_split_to_array(lower({c}), '[^A-Za-z0-9_]+')"
+        return f"list_min(list_concat(list_transform({words}, lambda x: levenshtein(x, 'smal') / 4.0), list_transform({words}, lambda x: levenshtein(x, 'widgit') / 6.0)))"
+
+    weights = {"p_name": 0.4, "p_type": 0.3, "p_brand": 0.2}
+    product = " * ".join(f"CASE WHEN {c}_d <= 0.4 THEN pow(greatest({c}_d, 0.001), {w / sum(weights.values())!r}) ELSE 1.0 END" for c, w in weights.items())
+    distances = ", ".join(f"{near(c)} AS {c}_d" for c in weights)
+    fuzzy = f"SELECT p_partkey, round({product}, 6)::DOUBLE AS score FROM (SELECT p_partkey, {distances} FROM part) WHERE {' OR '.join(f'{c}_d <= 0.4' for c in weights)} ORDER BY score, p_partkey LIMIT 50"
     return {
+        "fuzzy_search": fuzzy,
         "postings": POSTINGS_SQL,
         "index_update": POSTINGS_SQL,
         "chunk_stats": STATS_SQL,

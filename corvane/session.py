@@ -19,10 +19,30 @@ def session(name: str = "corvane", **settings: str) -> SparkSession:
 
 
 def checkpointed(df):
-    """The rows, computed once and kept in the cluster's checkpoint folder (one's own where it is unset, as in tests)."""
+    """The rows, computed once and kept in the cluster's checkpoint folder; on a single machine where it is unset, in a folder of one's own."""
     import tempfile
 
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
+
+
+def ranked(df, *keys: str):
+    """With ``__rank``, from 0 by the keys, whose values are distinct: rows are range-partitioned and kept, and a partition starts at the number of rows before it, so no task sorts everything and one number for each partition comes to the driver."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    ranged = checkpointed(df.repartitionByRange(*keys).withColumn("__p", F.spark_partition_id()))
+    sizes = ranged.groupBy("__p").agg(F.count("*").alias("n"), F.min(F.struct(*keys)).alias("least")).orderBy("least").collect()
+    start, firsts = 0, []
+    for r in sizes:
+        firsts += [F.lit(r["__p"]), F.lit(start)]
+        start += r["n"]
+    if not firsts:
+        return ranged.withColumn("__rank", F.lit(0).cast("long")).drop("__p")
+    place = F.row_number().over(Window.partitionBy("__p").orderBy(*keys))
+    return ranged.withColumn("__rank", F.element_at(F.create_map(*firsts), F.col("__p")).cast("long") + place - 1).drop("__p")
