@@ -36,9 +36,10 @@ def in_scope(path: Column, directory: Column) -> Column:
     return directory.isin("", ".") | (path == directory) | path.startswith(F.concat(directory, F.lit("/")))
 
 
-# Stems and whole names that make an entry file.
+# Stems, extensions and whole names that make an entry file.
 ENTRY_STEMS = ["main", "server", "app", "index"]
-ENTRY_NAMES = ["manage.py", "wsgi.py", "asgi.py", "__main__.py", "Program.cs", "Startup.cs", "main.go", "Application.java"]
+ENTRY_EXTENSIONS = ["go", "py", "ts", "tsx", "js", "jsx", "mjs", "cjs", "mts", "rs", "java", "kt", "rb", "php", "cs"]
+ENTRY_NAMES = ["__main__.py", "manage.py", "Program.cs", "Main.java", "Application.java"]
 
 
 def base_name(path: Column) -> Column:
@@ -46,9 +47,9 @@ def base_name(path: Column) -> Column:
 
 
 def is_entry_name(path: Column) -> Column:
+    """One of the whole names, or an entry's stem in any case with the extension of code."""
     name = base_name(path)
-    stem = F.regexp_extract(name, r"^(.*)\.(?:js|jsx|ts|tsx|mjs|cjs|py|go|rs|java|kt|rb|php|cs|swift|dart|scala|c|cc|cpp)$", 1)
-    return stem.isin(*ENTRY_STEMS) | name.isin(*ENTRY_NAMES)
+    return name.isin(*ENTRY_NAMES) | (F.lower(F.regexp_extract(name, r"^(.+)\.[^.]*$", 1)).isin(*ENTRY_STEMS) & F.regexp_extract(name, r"\.([^.]*)$", 1).isin(*ENTRY_EXTENSIONS))
 
 
 def is_test_path(path: Column) -> Column:

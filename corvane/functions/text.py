@@ -34,10 +34,20 @@ def complexity_of_lines(lines: Column) -> Column:
     return F.when(lines < 50, "simple").when(lines <= 200, "moderate").otherwise("complex")
 
 
-# Other words for the three degrees of complexity.
+# Other words for the three degrees of complexity; the second, shorter table is the merge's, which knows no numbers.
 COMPLEXITY_WORDS = {"simple": "simple", "low": "simple", "easy": "simple", "trivial": "simple", "basic": "simple", "moderate": "moderate", "medium": "moderate", "intermediate": "moderate", "mid": "moderate", "average": "moderate", "complex": "complex", "high": "complex", "hard": "complex", "difficult": "complex", "advanced": "complex"}
 
 
+MERGE_COMPLEXITY_WORDS = {"low": "simple", "easy": "simple", "medium": "moderate", "intermediate": "moderate", "high": "complex", "hard": "complex", "difficult": "complex"}
+
+
+def merge_complexity(value: Column) -> Column:
+    """A degree, or one of the merge's seven words for one, in any case; null for anything else, numbers too."""
+    word = F.lower(F.trim(value))
+    table = F.create_map(*[F.lit(x) for kv in MERGE_COMPLEXITY_WORDS.items() for x in kv])
+    return F.when(word.isin("simple", "moderate", "complex"), word).otherwise(F.try_element_at(table, word))
+
+
 def normalize_complexity(value: Column, below_one: str = "simple") -> Column:
     """A word, or a number up to 3, 6 or more, as one of three degrees; moderate if unknown. The two twins differ in numbers below 1."""
     word = F.lower(F.trim(value))
@@ -60,9 +70,9 @@ def format_route(verb: Column, *parts: Column) -> Column:
 
 
 def wikilinks(text: Column) -> Column:
-    """Array of (target, display) of [[target|display]]."""
+    """Array of (target, display) of [[target|display]]; display is null without one."""
     found = F.regexp_extract_all(text, F.lit(r"\[\[([^\]]+)\]\]"), 1)
-    return F.transform(found, lambda x: F.struct(F.trim(F.element_at(F.split(x, r"\|", 2), 1)).alias("target"), F.trim(F.coalesce(F.try_element_at(F.split(x, r"\|", 2), F.lit(2)), F.element_at(F.split(x, r"\|", 2), 1))).alias("display")))
+    return F.transform(found, lambda x: F.struct(F.trim(F.element_at(F.split(x, r"\|", 2), 1)).alias("target"), F.trim(F.try_element_at(F.split(x, r"\|", 2), F.lit(2))).alias("display")))
 
 
 def headings(text: Column) -> Column:
@@ -111,3 +121,69 @@ def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     size = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when(size > 0, dot(a, b) / size).otherwise(0.0)
+
+
+# XML's five named references.
+XML_NAMES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "amp": "&"}
+
+
+def _xml_character(code: Column) -> Column:
+    """The character of a code point; U+FFFD if it is none."""
+    bad = code.isNull() | (code <= 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+    return F.when(bad, "�").otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+
+
+def decode_xml(text: Column) -> Column:
+    """With named, decimal and hexadecimal references decoded, each once; unknown names stay as written."""
+    parts = F.regexp_extract_all(text, F.lit(r"&(?:#\d+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);|[^&]+|&"), 0)
+    names = F.create_map(*[F.lit(x) for k, v in XML_NAMES.items() for x in (f"&{k};", v)])
+
+    def one(p: Column) -> Column:
+        decimal = F.regexp_extract(p, r"^&#(\d+);$", 1).try_cast("long")
+        hexadecimal = F.conv(F.regexp_extract(p, r"^&#[xX]0*([0-9A-Fa-f]{1,8});$", 1), 16, 10).try_cast("long")
+        return F.when(p.rlike(r"^&#\d+;$"), _xml_character(decimal)).when(p.rlike(r"^&#[xX]"), _xml_character(hexadecimal)).otherwise(F.coalesce(F.try_element_at(names, p), p))
+
+    return F.when(text.isNotNull(), F.array_join(F.transform(parts, one), ""))
+
+
+def has_token(text: Column, token: Column) -> Column:
+    """Whether the token occurs with no letter or digit right before or after it."""
+    quoted = F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), F.replace(token, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E(?![\p{L}\p{N}])"))
+    return F.regexp_like(text, quoted)
+
+
+def java_package(text: Column) -> Column:
+    """The package that a Java source declares after comments and annotations, white space inside the name removed; null without one."""
+    found = F.regexp_extract(text, r"^(?:\s++|//[^\n]*+|/\*(?:[^*]|\*(?!/))*+\*/|@[\w.]++(?:\([^)]*+\))?)*+package\s++([\w$]++(?:\s*+\.\s*+[\w$]++)*+)\s*+;", 1)
+    return F.when(found != "", F.regexp_replace(found, r"\s+", ""))
+
+
+def first_paragraph(text: Column) -> Column:
+    """The first paragraph after front matter, without headings, quotes and rules before or inside it, its lines joined by spaces; '' without one."""
+    body = F.regexp_replace(F.regexp_replace(text, r"^---\n[\s\S]*?\n---\n?", ""), r"^\s+", "")
+    lines = F.transform(F.split(body, "\n"), F.trim)
+    shown = lambda x: (x != "") & ~x.startswith(">") & ~x.rlike(r"^[-*_]{3,}\s*$") & ~x.startswith("#")
+    ends = lambda x: (x == "") | x.startswith("#")
+    start = F.struct(F.lit(0).alias("done"), F.array().cast("array<string>").alias("lines"))
+    step = lambda s, x: F.struct(F.when((s["done"] == 1) | (ends(x) & (F.size(s["lines"]) > 0)), 1).otherwise(0).alias("done"), F.when((s["done"] == 0) & shown(x), F.concat(s["lines"], F.array(x))).otherwise(s["lines"]).alias("lines"))
+    return F.array_join(F.aggregate(lines, start, step)["lines"], " ")
+
+
+def import_line(imports: Column, target: Column) -> Column:
+    """The line of the import (source, line) that names a target's file, else its directory, else of the only import; null if none does. Of several the first line."""
+    last = lambda s: F.element_at(F.split(F.regexp_replace(s, r"[\\/]+$", ""), r"[\\/]"), -1)
+    stem = F.regexp_replace(F.element_at(F.split(target, "/"), -1), r"(?<=.)\.[^.]*$", "")
+    parent = F.when(F.size(F.split(target, "/")) > 1, F.element_at(F.split(target, "/"), -2)).otherwise(".")
+    line = lambda name: F.array_min(F.transform(F.filter(imports, lambda i: last(i["source"]) == name), lambda i: i["line"]))
+    return F.coalesce(line(stem), line(parent), F.when(F.size(imports) == 1, F.get(imports, 0)["line"]))
+
+
+def usable_range(start: Column, end: Column) -> Column:
+    """Whether a line range can be met: from 1 on, and not backwards."""
+    return F.coalesce((start >= 1) & (end >= start), F.lit(False))
+
+
+def architecture_action(version_ok: Column, language: Column, audited: Column, digest: Column, current: Column) -> Column:
+    """Struct (action, status) for stored layers: reuse only if they are of the current schema and language, audited and of the current digest; null versions are missing layers."""
+    status = F.when(version_ok.isNull(), "missing").when(~version_ok | (F.coalesce(language, F.lit("")) != "en") | ~F.coalesce(audited, F.lit(False)), "noncanonical-language").when(F.coalesce(digest, F.lit("")) == "", "missing").when(digest == current, "fresh").otherwise("stale")
+    return F.struct(F.when(status == "fresh", "reuse").otherwise("rebuild").alias("action"), status.alias("status"))

@@ -20,7 +20,7 @@ LANGUAGES = {"py": "python", "js": "javascript", "mjs": "javascript", "cjs": "ja
 NAMES = {"Dockerfile": "dockerfile", "Makefile": "makefile", ".env": "env"}
 CATEGORIES = {"markdown": "docs", "yaml": "config", "json": "config", "toml": "config", "env": "config", "xml": "config", "sql": "data", "dockerfile": "infra", "makefile": "infra", "terraform": "infra", "shell": "script"}
 # Suffixes of files that hold keys, and of archives.
-SENSITIVE = [".pem", ".key", ".p12", ".pfx", ".jks", ".keystore"]
+SENSITIVE = [".pem", ".key", ".ks", ".jks", ".pfx", ".p12", ".set", ".keystore"]
 ARCHIVES = [".zip", ".tar", ".gz", ".tgz", ".bz2", ".xz", ".7z", ".jar", ".war"]
 
 STRUCTURE = (

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import subprocess
+import time
 from collections.abc import Iterator, Sequence
 from pathlib import Path
 
@@ -81,6 +82,16 @@ class GitHistory(DataSource):
         return _HistoryReader(self.options["path"], self.options.get("since"))
 
 
+def _commits(stream, size: int = 1 << 20) -> Iterator[str]:
+    """The commits of a log in which each begins with a 1 byte, one at a time."""
+    held = b""
+    while chunk := stream.read(size):
+        *whole, held = (held + chunk).split(b"\x01")
+        yield from (x.decode("utf-8", "replace") for x in whole if x.strip(b"\0\n"))
+    if held.strip(b"\0\n"):
+        yield held.decode("utf-8", "replace")
+
+
 class _HistoryReader(DataSourceReader):
     def __init__(self, path: str, since: str | None):
         self.path, self.since = path, since
@@ -89,29 +100,34 @@ class _HistoryReader(DataSourceReader):
         import datetime
 
         command = ["git", "-C", self.path, "log", "--no-merges", "-M", "--raw", "--numstat", "-z", "--format=%x01%H%x02%ae%x02%ct"]
-        out = subprocess.run(command + ([f"--since={self.since}"] if self.since else []), capture_output=True, check=True).stdout.decode("utf-8", "replace")
-        for seq, commit in enumerate(x for x in out.split("\x01") if x.strip("\0\n")):
-            head, _, rest = commit.partition("\0") if "\0" in commit else (commit, "", "")
-            sha, email, seconds = head.strip().split("\x02")
-            when = datetime.datetime.fromtimestamp(int(seconds), datetime.UTC)
-            fields, i = [f.lstrip("\n") for f in rest.split("\0")], 0
-            raw, counts = [], {}
-            while i < len(fields):
-                f = fields[i]
-                if f.startswith(":"):
-                    status = f.split()[-1]
-                    moved = status[0] in "RC"
-                    raw.append((status[0], fields[i + 2] if moved else fields[i + 1], fields[i + 1] if moved else None))
-                    i += 3 if moved else 2
-                elif f.count("\t") == 2:
-                    plus, minus, name = f.split("\t")
-                    moved = name == ""
-                    counts[fields[i + 2] if moved else name] = tuple(None if x == "-" else int(x) for x in (plus, minus))
-                    i += 3 if moved else 1
-                else:
-                    i += 1
-            for status, path, old in raw:
-                yield (seq, sha, email.lower(), when, status, path, old, *counts.get(path, (None, None)))
+        with subprocess.Popen(command + ([f"--since={self.since}"] if self.since else []), stdout=subprocess.PIPE) as run:
+            for seq, commit in enumerate(_commits(run.stdout)):
+                yield from self._changes(seq, commit, datetime)
+        if run.returncode:
+            raise OSError(f"git log failed with {run.returncode}")
+
+    def _changes(self, seq: int, commit: str, datetime) -> Iterator[tuple]:
+        head, _, rest = commit.partition("\0") if "\0" in commit else (commit, "", "")
+        sha, email, seconds = head.strip().split("\x02")
+        when = datetime.datetime.fromtimestamp(int(seconds), datetime.UTC)
+        fields, i = [f.lstrip("\n") for f in rest.split("\0")], 0
+        raw, counts = [], {}
+        while i < len(fields):
+            f = fields[i]
+            if f.startswith(":"):
+                status = f.split()[-1]
+                moved = status[0] in "RC"
+                raw.append((status[0], fields[i + 2] if moved else fields[i + 1], fields[i + 1] if moved else None))
+                i += 3 if moved else 2
+            elif f.count("\t") == 2:
+                plus, minus, name = f.split("\t")
+                moved = name == ""
+                counts[fields[i + 2] if moved else name] = tuple(None if x == "-" else int(x) for x in (plus, minus))
+                i += 3 if moved else 1
+            else:
+                i += 1
+        for status, path, old in raw:
+            yield (seq, sha, email.lower(), when, status, path, old, *counts.get(path, (None, None)))
 
 
 def git_snapshot(spark: SparkSession, path: str, revision: str = "HEAD") -> DataFrame:
@@ -150,7 +166,7 @@ def write_jsonl(header: dict, streams: dict[str, DataFrame], path: str) -> None:
     counts = {}
     for kind, df in streams.items():
         df.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(f"{path}/{kind}")
-        counts[kind] = df.count()
+        counts[kind] = df.sparkSession.read.text(f"{path}/{kind}").count()  # of what was written, not of a second evaluation
     spark = next(iter(streams.values())).sparkSession
     spark.createDataFrame([(json.dumps(header | {"counts": counts}, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/header")
 
@@ -186,7 +202,11 @@ def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def publish(staged: dict[str, DataFrame], path: str, checks: Sequence[DataFrame] = ()) -> str:
-    """Writes products to a new version folder, checks that no check has a row, and then points ``CURRENT`` to it; a failed check publishes nothing."""
+    """Writes products to a new version folder, checks that no check has a row, and then makes it the current one; a failed check publishes nothing.
+
+    The version becomes current by one rename, of a marker named after the time, so there is always a whole
+    current version, also while another one is published; readers take the newest marker.
+    """
     import uuid
 
     version = uuid.uuid4().hex
@@ -196,12 +216,19 @@ def publish(staged: dict[str, DataFrame], path: str, checks: Sequence[DataFrame]
         if (bad := c.first()) is not None:
             raise ValueError(f"not published: {bad}")
     spark = next(iter(staged.values())).sparkSession
-    spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/CURRENT")
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{version}/.published")
+    fs = marker.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/current"))
+    fs.create(marker, True).close()
+    if not fs.rename(marker, spark._jvm.org.apache.hadoop.fs.Path(f"{path}/current/{time.time_ns():020d}-{version}")):
+        raise OSError("the version could not be made current")
     return version
 
 
 def current(spark: SparkSession, path: str, name: str) -> DataFrame:
-    version = spark.read.text(f"{path}/CURRENT").first()[0]
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/current")
+    names = [f.getPath().getName() for f in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)]
+    version = max(names).partition("-")[2]
     return spark.read.parquet(f"{path}/{version}/{name}")
 
 

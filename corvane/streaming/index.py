@@ -10,10 +10,10 @@ from corvane.operators import retrieval
 
 
 def maintain_index(chunks: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Keeps postings of a stream of changed chunks (chunk_id, text): each batch becomes a version, and readers take the newest of a chunk."""
+    """Keeps postings of a stream of changed chunks (chunk_id, text, changed_at): each batch becomes a version, and readers take the newest of a chunk; of several in one batch the one changed last."""
 
     def write(batch: DataFrame, number: int) -> None:
-        latest = batch.dropDuplicates(["chunk_id"])
+        latest = batch.groupBy("chunk_id").agg(F.max_by("text", F.struct("changed_at", "text")).alias("text"))
         retrieval.postings(latest).withColumn("version", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/postings/version={number}")
         latest.select("chunk_id", F.lit(number).alias("v")).write.mode("overwrite").parquet(f"{folder}/chunks/version={number}")
 
