@@ -161,7 +161,7 @@ def java_package(text: Column) -> Column:
 def first_paragraph(text: Column) -> Column:
     """The first paragraph after front matter, without headings, quotes and rules before or inside it, its lines joined by spaces; '' without one."""
     body = F.regexp_replace(F.regexp_replace(text, r"^---\n[\s\S]*?\n---\n?", ""), r"^\s+", "")
-    lines = F.transform(F.split(body, "\n"), F.trim)
+    lines = F.transform(F.split(body, "\n"), lambda x: F.trim(x))
     shown = lambda x: (x != "") & ~x.startswith(">") & ~x.rlike(r"^[-*_]{3,}\s*$") & ~x.startswith("#")
     ends = lambda x: (x == "") | x.startswith("#")
     start = F.struct(F.lit(0).alias("done"), F.array().cast("array<string>").alias("lines"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.plans import audit_queries, change_queries, fact_queries, graph_queries, history_queries, product_queries, retrieval_queries
+from corvane.plans import audit_queries, change_queries, fact_queries, graph_queries, history_queries, product_queries, retrieval_queries, text_queries
 
-GROUPS = [history_queries, retrieval_queries, change_queries, graph_queries, fact_queries, audit_queries, product_queries]
+GROUPS = [history_queries, retrieval_queries, change_queries, graph_queries, fact_queries, audit_queries, product_queries, text_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
