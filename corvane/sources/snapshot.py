@@ -26,7 +26,8 @@ def directory_snapshot(spark: SparkSession, root: str) -> DataFrame:
 class GitSnapshot(DataSource):
     """The files of a commit, read from the object store in batches of blobs; options ``path`` and ``revision``."""
 
-    BATCH = 512
+    #: Files and bytes of a task; a larger file is a task of its own.
+    BATCH, BYTES = 512, 64 << 20
 
     @classmethod
     def name(cls) -> str:
@@ -36,7 +37,7 @@ class GitSnapshot(DataSource):
         return FILE_SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return _GitReader(self.options["path"], self.options.get("revision", "HEAD"), self.BATCH)
+        return _GitReader(self.options["path"], self.options.get("revision", "HEAD"), self.BATCH, self.BYTES)
 
 
 class _Blobs(InputPartition):
@@ -46,13 +47,22 @@ class _Blobs(InputPartition):
 
 
 class _GitReader(DataSourceReader):
-    def __init__(self, path: str, revision: str, batch: int):
-        self.path, self.revision, self.batch = path, revision, batch
+    def __init__(self, path: str, revision: str, batch: int, most_bytes: int):
+        self.path, self.revision, self.batch, self.most_bytes = path, revision, batch, most_bytes
 
     def partitions(self) -> Sequence[InputPartition]:
-        listing = subprocess.run(["git", "-C", self.path, "ls-tree", "-r", "-z", self.revision], capture_output=True, check=True).stdout.decode("utf-8", "replace")
-        entries = [(name, head.split()[2]) for head, _, name in (x.partition("\t") for x in listing.split("\0") if x) if head.split()[1] == "blob"]
-        return [_Blobs(entries[i : i + self.batch]) for i in range(0, len(entries), self.batch)]
+        listing = subprocess.run(["git", "-C", self.path, "ls-tree", "-r", "-l", "-z", self.revision], capture_output=True, check=True).stdout.decode("utf-8", "replace")
+        tasks, held, size = [], [], 0
+        for head, _, name in (x.partition("\t") for x in listing.split("\0") if x):
+            _, kind, oid, length = head.split()
+            if kind != "blob":
+                continue
+            if held and (len(held) >= self.batch or size + int(length) > self.most_bytes):
+                tasks.append(_Blobs(held))
+                held, size = [], 0
+            held.append((name, oid))
+            size += int(length)
+        return tasks + [_Blobs(held)] * bool(held)
 
     def read(self, partition: _Blobs) -> Iterator[tuple]:
         import hashlib
