@@ -29,7 +29,7 @@ from corvane.llm.boosted_trees import BoostedTrees
 
 FRAME, MAIN, OTHER = 0, 1, 2
 #: Generated training pages, and the seed of their generator.
-EXAMPLES, SEED = 500, 7
+EXAMPLES, SEED = 800, 7
 
 # Elements of HTML that are blocks by default.
 BLOCKS = frozenset(
@@ -44,7 +44,9 @@ LIMITS = frozenset("ul ol dl menu table select body html article section div mai
 NOT_IN_P = BLOCKS - {"option", "optgroup", "button"}
 
 TAG = re.compile(r"<(?:!--(?:.*?-->|.*\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(>|\Z)|(/?)([a-zA-Z][^\s/>]*)([^>]*)(>|\Z))", re.DOTALL)
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|aria-hidden|data-role-mark)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?", re.IGNORECASE)
+#: One attribute after the other, so that none is looked for inside another's name or value.
+ATTRIBUTE = re.compile(r"([^\s=>/\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 TOKEN = re.compile(r"[a-z]+")
 
 TAGS = {t: i for i, t in enumerate("html head body div article main section p h1 h2 h3 h4 h5 h6 ul ol li nav header footer aside form button table tr td blockquote pre figure figcaption dl dd dt".split(), 1)}
@@ -133,10 +135,10 @@ def read_page(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 for a in ATTRIBUTE.finditer(attributes):
                     key, value = a[1].lower(), (a[2] or "").strip("\"'")
                     if key == "data-role-mark":
-                        mark = value
-                    elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "none" in value:
+                        mark = value if value in ("frame", "main", "other") else ""  # a cut-off page has cut-off values
+                    elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and UNSEEN.search(value):
                         tokens.append("hidden")
-                    elif key != "style" and key != "aria-hidden":
+                    elif key in ("class", "id", "role"):
                         tokens += TOKEN.findall(value.lower())
             nodes[stack[-1]].children += 1
             nodes.append(Node(name, stack[-1], len(stack), tokens, mark))
@@ -231,11 +233,17 @@ def example_page(rng: random.Random) -> str:
         kind = rng.random()
         return "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>" if kind < 0.6 else "".join(f"<div>{x}</div>" for x in items) if kind < 0.8 else " | ".join(items)
 
+    def unseen() -> str:
+        mark = rng.choice((" hidden", ' style="display:none"', ' style="display: none; color:red"', ' aria-hidden="true"', ' style="visibility:hidden"'))
+        tag = rng.choice(("p", "div", "section"))
+        return f'<{tag}{mark} data-role-mark="other">{prose(rng.randint(3, 60))}</{tag}>'
+
     def paragraph(n: int) -> str:
         inner = prose(n)
         if rng.random() < 0.2:
             inner = f"<b>{inner}<br>" if rng.random() < 0.5 else f"{inner} <a href='/y'>{prose(2)}</a> {prose(4)}"
-        return f"<p>{inner}" + ("</p>" if rng.random() < 0.85 else "")
+        plain = rng.choice((' style="border:none"', ' aria-label="hidden notes"', ' data-id="nav"', ' title="class=ad"')) if rng.random() < 0.03 else ""
+        return f"<p{plain}>{inner}" + ("</p>" if rng.random() < 0.85 else "")
 
     style = rng.random()
     body = []
@@ -259,6 +267,8 @@ def example_page(rng: random.Random) -> str:
         )
     for _ in range(rng.choice((0, 0, 0, 1))):
         parts.insert(rng.randint(0, len(parts)), rng.choice(extras[:2])())
+    for _ in range(rng.choice((0, 0, 0, 0, 0, 1, 2))):
+        parts.insert(rng.randint(0, len(parts)), unseen())
     tag, names = rng.choice((("article", "post|article|entry"), ("article", ""), ("main", "content|main"), ("div", "content|post|entry-content|article-body|story|main-text"), ("div", "content|post-body|text"), ("section", "article|story|content")))
     article = named("main", tag, names, "".join(parts))
     after = [rng.choice(extras)() for _ in range(rng.choice((0, 0, 1, 2)))]

@@ -119,3 +119,22 @@ def test_pipeline_on_odd_tables(spark, tmp_path, odd_docs, case):
     assert "ids_sha256" in out.columns and all(r["n_tokens"] == len(r["ids"]) for r in rows)
     ids = {r["doc_id"] for r in rows}
     assert (not rows) if case == "empty" else {5, 9, 10, 12} <= ids and not ids & {0, 1, 2, 3}
+
+
+HAND_WRITTEN = [
+    (
+        '<html><body><nav><a href=x>menu</a></nav><article><h1>Title here</h1><p>A first long paragraph with several words, and more of them to read.</p><p hidden>secret words are not shown to anybody here</p><p style="display:none">other unseen text of some length is here</p><p style="border:none">A second paragraph which is seen, with plenty of words in it.</p><p aria-label="hidden x">Third paragraph, seen as well by all who read it.</p></article><footer>foot</footer></body></html>',
+        "Title here\nA first long paragraph with several words, and more of them to read.\nA second paragraph which is seen, with plenty of words in it.\nThird paragraph, seen as well by all who read it.",
+    ),
+    (
+        '<!doctype html><body><header><h2>The Daily</h2></header><ul class="menu"><li><a href="/a">Home</a><li><a href="/b">News</a></ul><div id="content"><h1>Rain &amp; wind</h1><p>It rained all day in the valley, and the river rose by a foot before night.<p>Nobody was hurt, the mayor said, and the bridge will be open again on Friday.<blockquote><p>We have seen worse than this in other years, she added.</p></blockquote></div><div class="sidebar"><h3>Related</h3><ul><li><a href="/c">More rain</a></li><li><a href="/d">More wind</a></li></ul></div><div class="comments"><div class="comment"><p>First!</p></div></div></body>',
+        "Rain & wind\nIt rained all day in the valley, and the river rose by a foot before night.\nNobody was hurt, the mayor said, and the bridge will be open again on Friday.\nWe have seen worse than this in other years, she added.",
+    ),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), HAND_WRITTEN)
+def test_pages_by_hand(page, text):
+    from corvane.llm import html_main_text
+
+    assert html_main_text.default_model().extract([page]) == [text]
