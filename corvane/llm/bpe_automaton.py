@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from corvane.llm.arrays import map_texts
 
 #: Memoised words and arcs of a worker; both tables are emptied when they are full.
-WORD_MEMO, ARC_MEMO = 150_000, 300_000
+WORD_MEMO, ARC_MEMO = 100_000, 200_000
 
 END = "</w>"
 

@@ -34,7 +34,7 @@ SAMPLE, LONGEST, TRAINING = 64, 1 << 15, 40_000
 ALL_TRAINING, LETTERS = 1_000_000, 120
 STRETCH = 8192
 #: Symbols that are parsed in step at a time, and texts.
-GRID, LANES = 1 << 21, 8192
+GRID, LANES = 1 << 20, 8192
 UNKNOWN = "und"
 
 SEPARATOR, OTHER = 0, 1
@@ -236,7 +236,7 @@ def identify(docs: DataFrame, model: CrossParser, id_col: str = "doc_id", text_c
         lang, score = shared.value.predict(texts.to_pylist())
         return {"lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64())}
 
-    found = map_texts(docs, work, "lang_pred string, score double", id_col, text_col, [k for k in keep if k != "held_out"], limit=2 << 20)
+    found = map_texts(docs, work, "lang_pred string, score double", id_col, text_col, [k for k in keep if k != "held_out"], limit=1 << 20)
     return found.select(*[c for c in found.columns if c not in ("lang_pred", "score")], held_out(id_col).alias("held_out"), "lang_pred", "score")
 
 

@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 
 from corvane.llm.arrays import codes_of, lengths_to_rows, mix64, pieces
 from corvane.llm.components import components, link_buckets
-from corvane.llm.minhash import band_hashes, one_permutation
+from corvane.llm.minhash import NONE, SPREAD, band_hashes, densified
 from corvane.llm.recovery import discard, join_small, release, stored, trimmed
-from corvane.llm.set_pairs import distinct_elements, distinct_hashes, exact_windows, linked, parity_bitmaps
+from corvane.llm.set_pairs import distinct_elements, distinct_hashes, exact_windows, linked, parity_bitmaps, possible_pairs
 
 SHINGLE, BANDS, ROWS, SIMILARITY = 8, 14, 5, 80
 #: An odd number whose powers modulo 2^64 tell places apart.
@@ -64,11 +64,35 @@ def char_shingles(lines: Sequence[str], size: int = SHINGLE) -> tuple[np.ndarray
     return rows, mix64(hashes)
 
 
+def line_minima(lines: Sequence[str], size: int, bins: int) -> np.ndarray:
+    """The least value in each bin of each line's shingles (one_permutation without densification), straight from the characters."""
+    lengths = np.fromiter(map(len, lines), np.int64, len(lines))
+    at = np.concatenate([[0], np.cumsum(lengths)])
+    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    h = polynomial(points, size)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    place = np.repeat(np.arange(len(lines)) * bins, lengths)[: len(h)]
+    place += ((h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
+    for k in range(1, size):  # windows that begin in the last characters of a line reach into the next one
+        cut = at[1:] - k
+        cut = cut[(cut >= at[:-1]) & (cut < len(h))]
+        place[cut] = len(lines) * bins
+    sig = np.full(len(lines) * bins + 1, NONE, np.uint64)
+    np.minimum.at(sig, place, h * SPREAD)
+    short = np.flatnonzero((lengths > 0) & (lengths < size))
+    sig = sig[:-1].reshape(len(lines), bins)
+    if len(short):
+        sig[short, 0] = np.fromiter((xxhash.xxh3_64_intdigest(lines[i].encode("utf-8", "surrogatepass"), seed=1) for i in short), np.uint64, len(short))
+    return sig
+
+
 def _lines(size: int, bands: int, rows: int):
-    """Rows (id, text) -> one row for each line with a word; buckets with the first of equal lines in a piece only."""
+    """Rows (id, text) -> one row for each line with a word; ``times`` is how often the document has the line, at its first place, or else 0; buckets are with the first of equal lines in a piece only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in pieces(batches, "__text", 2 << 20):
+        for batch, texts in pieces(batches, "__text", 1 << 20):
             lists = pc.split_pattern(texts, "\n")
             at = np.asarray(lists.offsets).astype(np.int64)
             flat = lists.values.slice(at[0], at[-1] - at[0])
@@ -79,18 +103,20 @@ def _lines(size: int, bands: int, rows: int):
             worth = np.fromiter((not s.isspace() and s != b"" for s in raw), bool, len(raw))
             h1 = np.fromiter(map(xxhash.xxh3_64_intdigest, raw), np.uint64, len(raw)).view(np.int64)
             h2 = np.fromiter((xxhash.xxh64_intdigest(s, 5) for s in raw), np.uint64, len(raw)).view(np.int64)
-            row, h = char_shingles(strings, size)
-            buckets = band_hashes(one_permutation(row, h, len(raw), bands * rows), bands)
+            buckets = band_hashes(densified(line_minima(strings, size, bands * rows)), bands)
             first = np.zeros(len(flat), bool)
             first[np.unique(code, return_index=True)[1]] = True
             keep = np.flatnonzero(worth[code])
             owner = lengths_to_rows(at)
             code_kept, first = code[keep], first[keep]
             sizes = np.concatenate([[0], np.cumsum(np.where(first, bands, 0))]).astype(np.int32)
+            _, own, n = np.unique(owner[keep] << 32 | code_kept, return_index=True, return_counts=True)
+            times = np.zeros(len(keep), np.int32)
+            times[own] = n
             arrays = pa.ListArray.from_arrays(pa.array(sizes), pa.array(buckets[code_kept[first]].ravel()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("__id").take(pa.array(owner[keep])), pa.array((keep - at[owner[keep]]).astype(np.int32)), pa.array(h1[code_kept]), pa.array(h2[code_kept]), arrays],
-                ["__id", "line", "h1", "h2", "buckets"],
+                [batch.column("__id").take(pa.array(owner[keep])), pa.array((keep - at[owner[keep]]).astype(np.int32)), pa.array(h1[code_kept]), pa.array(h2[code_kept]), pa.array(times), arrays],
+                ["__id", "line", "h1", "h2", "times", "buckets"],
             )
 
     return lambda batches: trimmed(run(batches))
@@ -101,7 +127,7 @@ def _texts_of_lines(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch, texts in pieces([whole], "__text", 2 << 20):
+            for batch, texts in pieces([whole], "__text", 1 << 20):
                 nodes, found = [], []
                 for text, wanted in zip(texts.to_pylist(), batch.column("wanted").to_pylist(), strict=True):
                     lines = text.split("\n")
@@ -130,7 +156,8 @@ def _confirm(size: int, similarity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for half, _ in pieces([whole], "text_a", 1 << 20):
-                for batch, _ in pieces([half], "text_b", 1 << 20):
+                for pairs, _ in pieces([half], "text_b", 1 << 20):
+                    batch = pairs.take(pa.array(possible_pairs(pairs, similarity)))
                     code, known = codes_of(pa.concat_arrays([batch.column("text_a"), batch.column("text_b")]))
                     at, elements = char_sets(known.to_pylist(), size)
                     n = batch.num_rows
@@ -147,8 +174,10 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text")).where("__id is not null and __text is not null")
-    lines = stored(base.mapInArrow(_lines(size, bands, rows), "__id long, line int, h1 long, h2 long, buckets array<long>"))
-    kinds = stored(lines.groupBy("h1", "h2").agg(F.min(F.struct("__id", "line")).alias("at"), F.count("*").alias("n")))
+    lines = stored(base.mapInArrow(_lines(size, bands, rows), "__id long, line int, h1 long, h2 long, times int, buckets array<long>"))
+    # the first place of each text: plain numbers, so that equal lines are put together by hash
+    places = lines.where("times > 0").groupBy("h1", "h2").agg(F.min("__id").alias("i"), F.min_by("line", "__id").alias("l"), F.sum("times").alias("n"))
+    kinds = stored(places.select("h1", "h2", F.struct(F.col("i").alias("__id"), F.col("l").alias("line")).alias("at"), "n"))
     clash = stored(kinds.groupBy("h1").count().where("count > 1").select("h1"))
     some = not clash.isEmpty()
 
@@ -180,9 +209,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     release(spark)
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("line_text").alias("text_a")), "a")
-        with_b = with_a.join(texts.select(F.col("node").alias("b"), F.col("line_text").alias("text_b")), "b")
-        return with_b.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(size, similarity), "a long, b long")
+        with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("line_text").alias("text_a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a")), "a")
+        with_b = with_a.join(texts.select(F.col("node").alias("b"), F.col("line_text").alias("text_b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b")), "b")
+        return with_b.select("a", "b", "text_a", "text_b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_confirm(size, similarity), "a long, b long")
 
     group = components(link_buckets(members, texts.select("node", "n", "bits"), confirm, similarity), "a", "b")
     discard(members, texts)
@@ -200,7 +229,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def _rebuild(names: list[str], text_at: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, _ in pieces(batches, "__text", 2 << 20):
+        for batch, _ in pieces(batches, "__text", 1 << 20):
             texts, n_lines, n_removed, digests = [], [], [], []
             for text, gone in zip(batch.column("__text").to_pylist(), batch.column("gone").to_pylist(), strict=True):
                 lines = text.split("\n") if text else []

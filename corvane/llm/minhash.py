@@ -29,13 +29,20 @@ BANDS, ROWS = 40, 6
 SIMILARITY = 80
 
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Odd, so a product by it tells values apart, and its first bits depend on all of the factor.
+SPREAD = np.uint64(0x9E3779B97F4A7C15) << np.uint64(32) | np.uint64(1)
 
 
 def one_permutation(rows: np.ndarray, hashes: np.ndarray, n: int, bins: int) -> np.ndarray:
-    """The densified signatures (n x bins) of the sets whose elements' hashes and rows are given."""
+    """The densified signatures (n x bins) of the sets whose elements' hashes and rows are given; the first half of a hash makes the bin, the second one leads the value."""
     sig = np.full(n * bins, NONE, np.uint64)
-    np.minimum.at(sig, rows * bins + ((hashes >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64), mix64(hashes))
-    sig = sig.reshape(n, bins)
+    np.minimum.at(sig, rows * bins + ((hashes >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64), hashes * SPREAD)
+    return densified(sig.reshape(n, bins))
+
+
+def densified(sig: np.ndarray) -> np.ndarray:
+    """The signatures with each empty bin filled from the first full one that a hash of the bin and the attempt draws; rows without any stay empty."""
+    bins = sig.shape[1]
     full = sig != NONE
     some = full.any(axis=1)
     r, b = np.nonzero(~full & some[:, None])
@@ -117,8 +124,8 @@ def _confirm(k: int, similarity: int):
     """Rows (a, b, text_a, text_b) -> the linked (a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for half, _ in pieces(batches, "text_a", 2 << 20):
-            for batch, _ in pieces([half], "text_b", 2 << 20):
+        for half, _ in pieces(batches, "text_a", 1 << 20):
+            for batch, _ in pieces([half], "text_b", 1 << 20):
                 n = batch.num_rows
                 both = pa.concat_arrays([batch.column("a"), batch.column("b")]).to_numpy(zero_copy_only=False)
                 _, first, which = np.unique(both, return_index=True, return_inverse=True)
@@ -145,7 +152,7 @@ def near_duplicates(
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
-    signed = stored(map_texts(base, _signatures(k, bands, rows), "n_shingles long, set_1 long, set_2 long, buckets array<long>, bits binary", "__id", "__text", limit=2 << 20))
+    signed = stored(map_texts(base, _signatures(k, bands, rows), "n_shingles long, set_1 long, set_2 long, buckets array<long>, bits binary", "__id", "__text", limit=1 << 20))
     first = signed.where("n_shingles > 0 and __id is not null").groupBy("set_1", "set_2").agg(F.min("__id").alias("node"), F.count("*").alias("n"))
     first = stored(first)
     # a set of one document is that document's; of the others the first one's row is taken

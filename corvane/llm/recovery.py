@@ -27,7 +27,7 @@ def ready(spark: SparkSession) -> str:
 
 
 #: Rows and bytes of an Arrow batch, so that texts in flight stay small beside the heap.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2048", "spark.sql.execution.arrow.maxBytesPerBatch": "8388608"}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024", "spark.sql.execution.arrow.maxBytesPerBatch": "4194304"}
 DEFAULT_ROWS = "10000"
 
 
@@ -43,7 +43,7 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     small_batches(spark)
     path = f"{ready(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(path)  # most columns are hashes
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)

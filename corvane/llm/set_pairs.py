@@ -82,6 +82,14 @@ class Members:
         return keep[ok], differ[ok]
 
 
+def possible_pairs(pairs: pa.RecordBatch, similarity: int) -> np.ndarray:
+    """The rows (n_a, n_b, bits_a, bits_b) that the bound allows."""
+    n = pairs.num_rows
+    size = np.concatenate([pairs.column(c).to_numpy(zero_copy_only=False) for c in ("n_a", "n_b")]).astype(np.int64)
+    members = Members(size, pa.concat_arrays([pairs.column("bits_a"), pairs.column("bits_b")]))
+    return members.possible(np.arange(n), np.arange(n, 2 * n), similarity)[0]
+
+
 def cell_pairs(cross: bool, label: np.ndarray, side: np.ndarray, chunk: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs of a cell's members with different labels, some at a time; in a cross cell those of different sides only."""
     n = len(label)

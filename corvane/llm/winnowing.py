@@ -195,7 +195,7 @@ def mark_hits(
 
     def search(index, out: list[str], all_rows: bool):
         def run(batches):
-            for batch, texts in pieces(batches, "__text", 2 << 20):
+            for batch, texts in pieces(batches, "__text", 1 << 20):
                 offsets, words = item_words(texts)
                 row = lengths_to_rows(offsets)
                 at: list = [None] * batch.num_rows
@@ -226,7 +226,7 @@ def mark_hits(
         df = join_small(named, together, ["__n1", "__n2"], "left", row_bytes=48 + 4 * F.size("__at") + 24 * F.size("__items")).select(*fixed, "__at", "__items")
 
     def finish(batches):
-        for batch, texts in pieces(batches, "__text", 2 << 20):
+        for batch, texts in pieces(batches, "__text", 1 << 20):
             data, offsets = utf8_buffer(texts)
             solid = _WORD_BYTES[data] != 32
             first = solid.copy()
