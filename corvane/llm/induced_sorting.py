@@ -3,6 +3,11 @@
 The induction goes through the buckets of first symbols. All suffixes that one bucket (or one
 run of equal symbols in it) induces are placed at once, in scan order, so the array is filled in
 linear time without a step for each suffix.
+
+The reduced string of leftmost S substrings, about a third as long, is sorted by prefix doubling and not by
+another induction: its alphabet is nearly as large as itself, so an induction takes a Python step for each
+symbol, which costs about twice as much as all the rest. Common prefixes are compared
+eight symbols at a time up to the limit instead of being carried along in text order, for the same reason.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ def _spread(positions: np.ndarray, symbols: np.ndarray, into: list[list[np.ndarr
         for p, s in zip(positions, symbols, strict=True):
             into[s].append(np.array([p]))
         return
-    order = np.argsort(symbols, kind="stable")
+    order = np.argsort(symbols.astype(np.uint16) if symbols.max() < 1 << 16 else symbols, kind="stable")
     positions, symbols = positions[order], symbols[order]
     cuts = np.flatnonzero(symbols[1:] != symbols[:-1]) + 1
     for s, part in zip(symbols[np.concatenate([[0], cuts])].tolist(), np.split(positions, cuts), strict=True):
@@ -125,7 +130,7 @@ def _names_safe(text: np.ndarray, ordered: np.ndarray, ends: np.ndarray, n: int)
 
 
 def _sort_reduced(names: np.ndarray) -> np.ndarray:
-    """The order of the reduced string's suffixes: recursively, the names of neighbouring stretches are named anew, until all differ."""
+    """The order of the reduced string's suffixes, by doubling: stretches of names get ranks, then pairs of neighbouring stretches, until all differ."""
     m = len(names)
     rank, reach = names, 1
     while True:
@@ -133,8 +138,13 @@ def _sort_reduced(names: np.ndarray) -> np.ndarray:
         if reach < m:
             behind[: m - reach] = rank[reach:] + 1
         key = rank * (m + 1) + behind
-        order = np.argsort(key, kind="stable")
-        fresh = key[order][1:] != key[order][:-1]
+        if m < 1 << 20:  # key and place fit into one number
+            both = np.sort(key.astype(np.uint64) << np.uint64(20) | np.arange(m, dtype=np.uint64))
+            order, ordered = (both & np.uint64((1 << 20) - 1)).astype(np.int64), both >> np.uint64(20)
+        else:
+            order = np.argsort(key, kind="stable")
+            ordered = key[order]
+        fresh = ordered[1:] != ordered[:-1]
         rank = np.zeros(m, np.int64)
         rank[order] = np.concatenate([[0], np.cumsum(fresh)])
         if fresh.all():

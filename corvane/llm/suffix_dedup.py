@@ -169,16 +169,20 @@ def repeated_windows(ids: np.ndarray, lows: np.ndarray, highs: np.ndarray, texts
     offset = np.arange(len(joined)) - at[owner]
     valid = (offset <= (highs - lows)[owner])[order]
     places, run = order[valid], run[valid]
-    who, begin = ids[owner[places]], lows[owner[places]] + offset[places]
-    by = np.lexsort((begin, who, run))
-    later = np.zeros(len(by), bool)
-    later[1:] = run[by][1:] == run[by][:-1]
-    return owner[places[by[later]]], offset[places[by[later]]]
+    if not len(places):
+        return places, places
+    rank = np.empty(len(ids), np.int64)  # of the contexts, by document and place: with the offset, the order of windows
+    rank[np.lexsort((lows, ids))] = np.arange(len(ids))
+    key = rank[owner[places]] << 32 | offset[places]
+    new = np.concatenate([[True], run[1:] != run[:-1]])
+    first = np.minimum.reduceat(key, np.flatnonzero(new))
+    later = key != first[np.cumsum(new) - 1]
+    return owner[places[later]], offset[places[later]]
 
 
 def _ranges(owner: np.ndarray, offset: np.ndarray, ids: np.ndarray, lows: np.ndarray) -> pa.RecordBatch:
-    order = np.lexsort((offset, owner))
-    owner, offset = owner[order], offset[order]
+    both = np.sort(owner << 32 | offset)
+    owner, offset = both >> 32, both & 0xFFFFFFFF
     new = np.ones(len(owner), bool)
     new[1:] = (owner[1:] != owner[:-1]) | (offset[1:] != offset[:-1] + 1)
     first = np.flatnonzero(new)
