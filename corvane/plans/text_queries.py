@@ -138,43 +138,43 @@ def old_and_new(spark, sf):
 
 def queries() -> dict:
     part = lambda s, d: table(s, d, "part")
-    k = F.col("p_partkey")
+    k = lambda: F.col("p_partkey")
     return {
         "file_languages": lambda s, d: named_files(s, d).select("p_partkey", readers.language(F.col("path")).alias("language"), readers.category(readers.language(F.col("path"))).alias("category")),
         "entry_names": lambda s, d: named_files(s, d).where(P.is_entry_name(F.col("path"))).select("p_partkey", "path"),
         "test_names": lambda s, d: named_files(s, d).where(P.is_test_path(F.col("path"))).select("p_partkey", "path"),
-        "selected_files": lambda s, d: named_files(s, d).select("p_partkey", readers.selection(F.col("path"), F.when(k % 29 == 0, "-----BEGIN RSA PRIVATE KEY-----"), readers.ignore_filter(["node_modules/", "/build"])(F.col("path"))).alias("decision")),
+        "selected_files": lambda s, d: named_files(s, d).select("p_partkey", readers.selection(F.col("path"), F.when(k() % 29 == 0, "-----BEGIN RSA PRIVATE KEY-----"), readers.ignore_filter(["node_modules/", "/build"])(F.col("path"))).alias("decision")),
         "declared_names": declared,
         "structure_statuses": lambda s, d: structures(s, d).select("path", "status", "total_lines", "non_empty_lines"),
         "binary_texts": lambda s, d: table(s, d, "documents").where(T.looks_binary(F.encode(F.concat(F.when(F.col("doc_id") % 7 == 0, F.lit("a\u0000b")).otherwise(""), F.coalesce("text", F.lit(""))), "UTF-8"))).select("doc_id"),
         "content_hashes": lambda s, d: table(s, d, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash")),
-        "derived_statuses": lambda s, d: part(s, d).select("p_partkey", K.derive_status(k % 5 == 0, k % 7 > 0, F.col("p_size") % 4).alias("status")),
+        "derived_statuses": lambda s, d: part(s, d).select("p_partkey", K.derive_status(k() % 5 == 0, k() % 7 > 0, F.col("p_size") % 4).alias("status")),
         "scoped_files": lambda s, d: supplier_paths(s, d).where(P.in_scope(F.col("path"), F.lit("ASIA")) | P.in_scope(F.col("path"), F.lit("EUROPE/NATION"))).select("path"),
         "merged_evidence": lambda s, d: K.merge_evidence(evidence_edges(s, d)).select("type", "source", "target", F.array_join(F.transform("evidence", lambda x: F.concat(x["file"], F.lit(":"), x["line"])), ",").alias("evidence")),
         "chunk_ids": lambda s, d: V.unique_chunk_ids(part(s, d).select(_cat("c", _s("p_size")).alias("id"), "p_partkey"), "id", "p_partkey"),
         "supersets": lambda s, d: table(s, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_linenumber").alias("w"), F.collect_set(F.col("l_quantity").cast("int") % 8).alias("p")).where(C.is_superset(F.col("w"), F.col("p"))).select("l_orderkey"),
-        "normal_paths": lambda s, d: part(s, d).select("p_partkey", P.normalize_path(_cat(_pick(k, ["./", "/", "a\\\\b/", ""]), "x//", _s(k)), _pick(F.floor(k / 4), ["", "/m/"])).alias("path")),
-        "signatures": lambda s, d: part(s, d).select("p_partkey", T.normalize_signature(F.when(k % 3 > 0, F.array(_cat("  a  : ", _s("p_size")), F.lit("b"))), F.when(k % 2 == 0, _cat(" T <  ", _s("p_size"), "> "))).alias("signature")),
-        "type_names": lambda s, d: part(s, d).select("p_partkey", T.simple_type_name(_cat(_pick(k, ["java.util.Map<K, List<V>>", "a.B[]", "C", "x.y.Z<A<B<C>>> []"]), "")).alias("name")),
+        "normal_paths": lambda s, d: part(s, d).select("p_partkey", P.normalize_path(_cat(_pick(k(), ["./", "/", "a\\\\b/", ""]), "x//", _s(k())), _pick(F.floor(k() / 4), ["", "/m/"])).alias("path")),
+        "signatures": lambda s, d: part(s, d).select("p_partkey", T.normalize_signature(F.when(k() % 3 > 0, F.array(_cat("  a  : ", _s("p_size")), F.lit("b"))), F.when(k() % 2 == 0, _cat(" T <  ", _s("p_size"), "> "))).alias("signature")),
+        "type_names": lambda s, d: part(s, d).select("p_partkey", T.simple_type_name(_cat(_pick(k(), ["java.util.Map<K, List<V>>", "a.B[]", "C", "x.y.Z<A<B<C>>> []"]), "")).alias("name")),
         "document_headings": lambda s, d: marked(s, d).select("s_suppkey", F.explode(T.headings(F.col("text"))).alias("h")).select("s_suppkey", "h.level", "h.title"),
         "front_matter": lambda s, d: marked(s, d).select("s_suppkey", F.explode(T.frontmatter(F.col("text")))),
         "page_links": lambda s, d: marked(s, d).select("s_suppkey", F.explode(T.wikilinks(F.col("text"))).alias("l")).select("s_suppkey", "l.target", "l.display"),
         "first_paragraphs": lambda s, d: marked(s, d).select("s_suppkey", T.first_paragraph(F.col("text")).alias("paragraph")),
-        "display_names": lambda s, d: part(s, d).select("p_partkey", T.check_display_name(_pick(k, ["", "one", "two words", "a b c d e f g h i", "two\nlines x", "x" * 30 + " " + "y" * 40])).alias("problem")),
-        "merge_complexities": lambda s, d: part(s, d).select("p_partkey", T.merge_complexity(_pick(k, [" Low", "HARD ", "trivial", "3", "complex", "medium"])).alias("complexity")),
-        "xml_texts": lambda s, d: part(s, d).select("p_partkey", T.decode_xml(_cat(_pick(k, ["&lt;&amp;lt;", "&#233;&#xE9;", "&nope; &", "plain"]), _s(k))).alias("text")),
+        "display_names": lambda s, d: part(s, d).select("p_partkey", T.check_display_name(_pick(k(), ["", "one", "two words", "a b c d e f g h i", "two\nlines x", "x" * 30 + " " + "y" * 40])).alias("problem")),
+        "merge_complexities": lambda s, d: part(s, d).select("p_partkey", T.merge_complexity(_pick(k(), [" Low", "HARD ", "trivial", "3", "complex", "medium"])).alias("complexity")),
+        "xml_texts": lambda s, d: part(s, d).select("p_partkey", T.decode_xml(_cat(_pick(k(), ["&lt;&amp;lt;", "&#233;&#xE9;", "&nope; &", "plain"]), _s(k()))).alias("text")),
         "token_hits": lambda s, d: table(s, d, "documents").where(T.has_token(F.col("text"), F.lit("the"))).select("doc_id"),
-        "java_packages": lambda s, d: part(s, d).select("p_partkey", T.java_package(_cat(_pick(k, ["/* c */ package a.b", "// x\n@A package  c", "import z; package d", "package e . f"]), _s("p_size"), ";")).alias("package")),
-        "import_lines": lambda s, d: part(s, d).select("p_partkey", T.import_line(F.array(F.struct(_cat("./p", _s(k % 5)).alias("source"), F.lit(4).alias("line")), F.struct(F.lit("lib/util/").alias("source"), F.lit(9).alias("line"))), _pick(k, ["src/p1.ts", "lib/util/x.ts", "q.ts", "src/p3.py"])).alias("line")),
-        "usable_ranges": lambda s, d: part(s, d).where(T.usable_range(F.col("p_size") - 3, F.when(k % 7 > 0, k % 40))).select("p_partkey"),
-        "architecture_actions": lambda s, d: part(s, d).select("p_partkey", T.architecture_action(F.when(k % 9 > 0, k % 8 > 0), F.when(k % 7 > 0, "en"), k % 5 > 0, F.when(k % 3 > 0, _s(k % 4)), F.lit("1")).alias("a")).select("p_partkey", "a.action", "a.status"),
+        "java_packages": lambda s, d: part(s, d).select("p_partkey", T.java_package(_cat(_pick(k(), ["/* c */ package a.b", "// x\n@A package  c", "import z; package d", "package e . f"]), _s("p_size"), ";")).alias("package")),
+        "import_lines": lambda s, d: part(s, d).select("p_partkey", T.import_line(F.array(F.struct(_cat("./p", _s(k() % 5)).alias("source"), F.lit(4).alias("line")), F.struct(F.lit("lib/util/").alias("source"), F.lit(9).alias("line"))), _pick(k(), ["src/p1.ts", "lib/util/x.ts", "q.ts", "src/p3.py"])).alias("line")),
+        "usable_ranges": lambda s, d: part(s, d).where(T.usable_range(F.col("p_size") - 3, F.when(k() % 7 > 0, k() % 40))).select("p_partkey"),
+        "architecture_actions": lambda s, d: part(s, d).select("p_partkey", T.architecture_action(F.when(k() % 9 > 0, k() % 8 > 0), F.when(k() % 7 > 0, "en"), k() % 5 > 0, F.when(k() % 3 > 0, _s(k() % 4)), F.lit("1")).alias("a")).select("p_partkey", "a.action", "a.status"),
         "own_confidences": signals,
-        "mentions": lambda s, d: R.mentions(part(s, d).select(_cat("f", _s("p_size")).alias("file"), _cat("com.", F.col("p_brand"), ".T", _s(k % 90), ".run").alias("token")), part(s, d).where("p_partkey % 3 = 0").select(_cat("com.", F.col("p_brand"), ".T", _s(k % 90)).alias("name"), _s(k).alias("id"))),
+        "mentions": lambda s, d: R.mentions(part(s, d).select(_cat("f", _s("p_size")).alias("file"), _cat("com.", F.col("p_brand"), ".T", _s(k() % 90), ".run").alias("token")), part(s, d).where("p_partkey % 3 = 0").select(_cat("com.", F.col("p_brand"), ".T", _s(k() % 90)).alias("name"), _s(k()).alias("id"))),
         "mention_conservation": lambda s, d: B.operation_counts(queries()["mentions"](s, d), "outcome", ["resolved", "ambiguous", "unresolved"]),
         "route_conservation": lambda s, d: B.operation_counts(part(s, d).select(F.when(F.col("p_size") % 3 == 0, "handler").when(F.col("p_size") % 3 == 1, "no-handler").otherwise("ambiguous").alias("outcome")), "outcome", ["handler", "no-handler", "ambiguous"]),
         "article_links": lambda s, d: R.resolve_links(links(s, d).select("link"), articles(s, d)),
-        "aliased_imports": lambda s, d: R.match_alias(part(s, d).select(_cat(_pick(k, ["@app/", "@app/ui/", "#", "lib/"]), _s("p_size")).alias("specifier")), s.createDataFrame([("@app/*", "src/*"), ("@app/ui/*", "ui/*.ts"), ("#*", "types/*/index")], "pattern string, replacement string")),
-        "dotted_suffixes": lambda s, d: R.resolve_suffix(part(s, d).select(k.alias("ref"), _cat("com.", F.replace("p_brand", F.lit("#"), F.lit(".")), ".P", _s("p_size")).alias("name")).select("ref", R.dotted_to_suffix("name", ".java").alias("suffix")), part(s, d).where("p_partkey % 4 = 0").select(_cat(_pick(F.floor(k / 4), ["src/", "gen/"]), "com/", F.replace("p_brand", F.lit("#"), F.lit("/")), "/P", _s("p_size"), ".java").alias("path")).distinct()),
+        "aliased_imports": lambda s, d: R.match_alias(part(s, d).select(_cat(_pick(k(), ["@app/", "@app/ui/", "#", "lib/"]), _s("p_size")).alias("specifier")), s.createDataFrame([("@app/*", "src/*"), ("@app/ui/*", "ui/*.ts"), ("#*", "types/*/index")], "pattern string, replacement string")),
+        "dotted_suffixes": lambda s, d: R.resolve_suffix(part(s, d).select(k().alias("ref"), _cat("com.", F.replace("p_brand", F.lit("#"), F.lit(".")), ".P", _s("p_size")).alias("name")).select("ref", R.dotted_to_suffix("name", ".java").alias("suffix")), part(s, d).where("p_partkey % 4 = 0").select(_cat(_pick(F.floor(k() / 4), ["src/", "gen/"]), "com/", F.replace("p_brand", F.lit("#"), F.lit("/")), "/P", _s("p_size"), ".java").alias("path")).distinct()),
         "followed_bindings": lambda s, d: R.follow_bindings(*bindings(s, d)),
         "replaced_nodes": lambda s, d: old_and_new(s, d)[0],
         "replaced_edges": lambda s, d: old_and_new(s, d)[1],
