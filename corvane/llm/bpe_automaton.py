@@ -15,8 +15,9 @@ into ``gadgets``. That keeps the tables linear in the merges instead of quadrati
 walked (state, token) pair is looked up in a memo table after the first time.
 
 A word has one accepting path. It is found from left to right: every prefix has one path of
-its own, so a position needs a single (state, token). The tokens that end at a position are
-read off a table of backward transitions over bytes (``back``), whose states are the endings of tokens.
+its own, so a position needs a single (state, token). The tokens that end at a position are those of
+the state that a matching automaton (Aho-Corasick) over the bytes of all tokens is in, one step for each byte.
+The new words of a piece of texts are walked in order, so that neighbours share their first letters.
 
 Words are split by the normaliser and pattern of the tokenizer file, with Python's Unicode tables. A
 text with code points that those don't know yet is split by the tokenizers library itself.
@@ -37,8 +38,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm.arrays import map_texts
 
-#: Memoised words and arcs of a worker; both tables are emptied when they are full.
-WORD_MEMO, ARC_MEMO = 100_000, 200_000
+#: Memoised words, arcs and byte steps of a worker; tables are emptied when they are full, that of words except for the words at hand.
+WORD_MEMO, ARC_MEMO, STEP_MEMO = 100_000, 200_000, 200_000
 
 END = "</w>"
 
@@ -60,10 +61,6 @@ class TokenizationAutomaton:
         size = max(vocab.values()) + 1
         self.inner: dict[bytes, int] = {}
         self.final: dict[bytes, int] = {}
-        #: state << 8 | byte -> state, from the last byte of tokens to their first; the token that a state spells inside a word and at its end, or -1.
-        self.back: dict[int, int] = {}
-        self.spelt: list[int] = [-1]
-        self.spelt_last: list[int] = [-1]
         for token, i in vocab.items():
             ends = token.endswith(END) and len(token) > len(END)
             stem = token[: -len(END)] if ends else token
@@ -82,25 +79,51 @@ class TokenizationAutomaton:
         self.arcs: dict[int, bool] = {}
         for time, (a, b) in enumerate(merges, 1):
             self._gadget(time, vocab[a], vocab[b], vocab[a + b])
-        for tokens, spelt in ((self.inner, self.spelt), (self.final, self.spelt_last)):
-            for stem, i in tokens.items():
-                spelt[self._ending(stem)] = i
+        self.led = [t << 20 for t in self.target]
+        self._matching()
         self.raw = {i: i.to_bytes(4, "little") for i in self.labels}
-        self.words: dict[str, tuple[bytes, str]] = {}
-        #: The word walked last, and its states and tokens by position.
-        self.walked: tuple[bytes, list[int], list[tuple[int, int]]] = (b"", [0], [(0, -1)])
-
-    def _ending(self, stem: bytes) -> int:
-        """The state of an ending, made if there is none."""
-        state = 0
-        for b in reversed(stem):
-            to = self.back.get(state << 8 | b)
-            if to is None:
-                to = self.back[state << 8 | b] = len(self.spelt)
-                self.spelt.append(-1)
-                self.spelt_last.append(-1)
-            state = to
-        return state
+        self.words: dict[str | tuple[str], tuple[bytes, str]] = {}
+        #: The word walked last, and by position its states in either automaton, the first ones shifted, and its tokens.
+        self.walked: tuple[bytes, list[int], list[int], list[tuple[int, int]]] = (b"", [0], [0], [(0, -1)])
+
+    def _matching(self) -> None:
+        """Builds the matching automaton: a state is a beginning of tokens, the longest that the bytes so far end with."""
+        #: state << 8 | byte -> longer state; steps that fall back to shorter beginnings are found by ``fails`` and memoised.
+        self.longer: dict[int, int] = {}
+        self.steps: dict[int, int] = {}
+        came, depth = [(0, 0)], [0]
+        own: dict[int, list[tuple[int, int] | None]] = {}
+        for k, tokens in enumerate((self.inner, self.final)):
+            for stem, i in tokens.items():
+                state = 0
+                for b in stem:
+                    to = self.longer.get(state << 8 | b)
+                    if to is None:
+                        to = self.longer[state << 8 | b] = len(came)
+                        came.append((state, b))
+                        depth.append(depth[state] + 1)
+                    state = to
+                own.setdefault(state, [None, None])[k] = (len(stem), i)
+        self.fails = [0] * len(came)
+        #: By state the (length, token) that end there, longest first: inside a word, and at its end.
+        self.ending: list[tuple[tuple[int, int], ...]] = [()] * len(came)
+        self.ending_last = list(self.ending)
+        for state in sorted(range(1, len(came)), key=depth.__getitem__):
+            before, b = came[state]
+            shorter = self.fails[state] = self._step(self.fails[before], b) if before else 0
+            for k, table in enumerate((self.ending, self.ending_last)):
+                one = own[state][k] if state in own else None
+                table[state] = (one, *table[shorter]) if one else table[shorter]
+
+    def _step(self, state: int, byte: int) -> int:
+        """Where a byte leads, by ever shorter beginnings."""
+        while True:
+            to = self.longer.get(state << 8 | byte)
+            if to is not None:
+                return to
+            if not state:
+                return 0
+            state = self.fails[state]
 
     def _gadget(self, time: int, u: int, v: int, w: int) -> None:
         self.born_token[w], self.left[w], self.dead[w] = time, u, not self._walk(self.target[u], v)
@@ -140,39 +163,39 @@ class TokenizationAutomaton:
 
     def encode_word(self, word: bytes) -> list[int]:
         """The tokens of the one accepting path of a pre-split word; what it shares with the word before it is walked once."""
-        n, target, step, arcs = len(word), self.target, self.back.get, self.arcs
-        before, states, came = self.walked
+        n, led, steps, arcs = len(word), self.led, self.steps, self.arcs
+        before, matches, states, came = self.walked
         shared, most = 0, min(len(before), n) - 1
         while shared < most and before[shared] == word[shared]:
             shared += 1
-        states = states[: shared + 1] + [0] * (n - shared)
-        came = came[: shared + 1] + [(0, -1)] * (n - shared)
-        spelt = self.spelt
-        for end in range(shared + 1, n + 1):
-            if end == n:
-                spelt = self.spelt_last
-            at, start, found = 0, end, []
-            while start:
-                start -= 1
-                at = step(at << 8 | word[start])
-                if at is None:
-                    break
-                if spelt[at] >= 0:
-                    found.append((start, spelt[at]))
-            for place in reversed(found):
-                start, token = place
-                known = arcs.get(states[start] << 20 | token)
+        matches, states, came = matches[: shared + 1], states[: shared + 1], came[: shared + 1]
+        at, end, ending = matches[shared], shared, self.ending
+        for byte in word[shared:]:
+            end += 1
+            key = at << 8 | byte
+            at = steps.get(key)
+            if at is None:
+                if len(steps) >= STEP_MEMO:
+                    steps.clear()
+                at = steps[key] = self._step(key >> 8, byte)
+            for found in self.ending_last[at] if end == n else ending[at]:
+                size, token = found
+                key = states[end - size] | token
+                known = arcs.get(key)
                 if known is None:
-                    known = self.has_arc(states[start], token)
+                    known = self.has_arc(key >> 20, token)
                 if known:
-                    states[end], came[end] = target[token], place
+                    matches.append(at)
+                    states.append(led[token])
+                    came.append(found)
                     break
             else:
                 raise ValueError("the vocabulary has no symbol for a byte of the word")
-        self.walked = word, states, came
+        self.walked = word, matches, states, came
         path = []
         while n:
-            n, token = came[n]
+            size, token = came[n]
+            n -= size
             path.append(token)
         return path[::-1]
 
@@ -256,31 +279,41 @@ class WordBpe:
             self.library = Tokenizer.from_str(json.dumps(whole))
         return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
 
-    def encode_parts(self, text: str) -> list[tuple[bytes, str]]:
-        """For each word or special token its ids as bytes and its labels."""
+    def split_text(self, text: str) -> list[str | tuple[str]]:
+        """The words of a text, and its special tokens as tuples of one."""
         if not any(c in text for c in self.marks):
-            return self._parts(text)
-        parts, at = [], 0
+            return self.words(text)
+        keys, at = [], 0
         for m in self.cut.finditer(text):
-            parts += self._parts(text[at : m.start()])
-            parts.append(self.specials[m[0]])
+            keys += self.words(text[at : m.start()])
+            keys.append((m[0],))
             at = m.end()
-        return parts + self._parts(text[at:])
-
-    def _parts(self, text: str) -> list[tuple[bytes, str]]:
-        words, memo = self.words(text), self.automaton.words
-        try:
-            return [memo[w] for w in words]
-        except KeyError:
-            if len(memo) > WORD_MEMO:
-                memo.clear()
-            for w in sorted({w for w in words if w not in memo}):  # neighbours share their first letters
-                memo[w] = self.automaton.word(w)
-            return [memo[w] for w in words]
+        return keys + self.words(text[at:])
+
+    def encode_texts(self, texts: Sequence[str]) -> list[tuple[bytes, str]]:
+        """For each text its ids as bytes, and its labels with a space between; words that are new to the memo are walked once, for all texts."""
+        memo, word = self.automaton.words, self.automaton.word
+        split = [self.split_text(t) for t in texts]
+        new = set().union(*split)
+        if len(memo) + len(new - memo.keys()) > WORD_MEMO:
+            own = {w: memo[w] for w in new if w in memo}
+            memo.clear()
+            memo.update(own)
+        new -= memo.keys()
+        special = [w for w in new if type(w) is tuple]
+        memo.update((w, self.specials[w[0]]) for w in special)
+        new.difference_update(special)
+        for w in sorted(new):  # neighbours share their first letters
+            memo[w] = word(w)
+        out = []
+        for words in split:
+            parts = [memo[w] for w in words]
+            out.append((b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts])))
+        return out
 
     def encode(self, text: str) -> list[int]:
         """The ids of a text."""
-        raw = b"".join([ids for ids, _ in self.encode_parts(text)])
+        raw = self.encode_texts([text])[0][0]
         return list(memoryview(raw).cast("I")) if raw else []
 
     def decode(self, ids: Sequence[int]) -> str:
@@ -307,9 +340,7 @@ def encode_documents(spark: SparkSession, docs: DataFrame, path: str | None = No
     def work(texts: pa.Array) -> dict:
         bpe = shared.value
         n, id_hash, text_hash, raws, decoded_texts = [], [], [], [], []
-        for text in texts.to_pylist():
-            parts = bpe.encode_parts(text)
-            raw, decoded = b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
+        for raw, decoded in bpe.encode_texts(texts.to_pylist()):
             n.append(len(raw) // 4)
             id_hash.append(hashlib.sha256(raw).hexdigest())
             text_hash.append(hashlib.sha256(decoded.encode()).hexdigest())
