@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.recovery import discard, stored
+from corvane.llm.recovery import discard, join_small, stored
 from corvane.llm.set_pairs import search_cells
 
 #: Neighbours of a node beyond which its edges are handled apart; so there are at most edges / HUB such nodes.
@@ -74,7 +74,7 @@ def _cells(labelled: DataFrame, block: int) -> DataFrame:
 
 
 def link_buckets(members: DataFrame, traits: DataFrame, confirm: Callable[[DataFrame], DataFrame], similarity: int, block: int = BLOCK, pairs_each: int = PAIRS) -> DataFrame:
-    """Confirmed links (a, b) that connect whatever the buckets connect.
+    """Edges (a, b) that connect exactly what confirmed links connect: each node with the least one of its component, and the links found last.
 
     ``members`` has distinct (bucket, node), ``traits`` (node, n, bits): the size and parity bitmap of each
     node's set; both are stored. ``confirm`` gets distinct (a, b) with a < b and returns those that are linked.
@@ -83,24 +83,27 @@ def link_buckets(members: DataFrame, traits: DataFrame, confirm: Callable[[DataF
     join nodes to components, and only pairs between different components of a bucket are of
     interest from then on. They are compared by bitmaps where they lie, in cells of bounded size, and a cell
     gives only pairs that the exact bound allows: all of them if they are at most ``pairs_each`` for each
-    member, or else one for each member, which join components, and then the bucket is searched again,
+    member, or else one for each member, which join components, and then the bucket, but no other, is searched again,
     with twice as many allowed. So no link that would connect two components is lost, and pairs
     that are left out are either proved too different or in one component already.
     """
     heads = stored(members.groupBy("bucket").agg(F.min("node").alias("c"), F.max("node").alias("hi")).where("c <> hi").select("bucket", "c"))
     pairs = tested = stored(members.join(heads, "bucket").where("node <> c").select(F.col("c").alias("a"), F.col("node").alias("b")).distinct())
     links = stored(confirm(pairs).select("a", "b"))
+    searched = members
     while True:
         named = components(links, "a", "b")
-        labelled = stored(members.join(named, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("label")))
+        labelled = stored(searched.join(named, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("label")))
         cells = _cells(labelled, block).join(traits, "node").select("bucket", "i", "j", "side", "node", "label", "n", "bits")
         near = cells.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-        found = stored(near.mapInArrow(search_cells(similarity, pairs_each), "a long, b long, again boolean").groupBy("a", "b").agg(F.max("again").alias("again")))
-        again = bool(found.agg(F.max("again")).first()[0])
-        pairs = stored(found.select("a", "b").join(tested, ["a", "b"], "left_anti"))
+        found = stored(near.mapInArrow(search_cells(similarity, pairs_each), "a long, b long, again boolean, bucket long"))
+        crowded = stored(found.where("again").select("bucket").distinct())
+        pairs = stored(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
         discard(found, labelled)
         tested = tested.union(pairs)
-        links = links.union(stored(confirm(pairs).select("a", "b")))
-        if not again:
+        # what is connected already goes on as stars, which the next search of components leaves as they are
+        links = named.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")).union(stored(confirm(pairs).select("a", "b")))
+        if crowded.isEmpty():
             return links
+        searched = join_small(searched, crowded, "bucket")  # the others gave all their pairs
         pairs_each *= 2

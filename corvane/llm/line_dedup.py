@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.arrays import codes_of, lengths_to_rows, mix64, pieces
+from corvane.llm.arrays import codes_of, lengths_to_rows, mix64, pieces, utf8_buffer
 from corvane.llm.components import components, link_buckets
 from corvane.llm.minhash import NONE, SPREAD, band_hashes, densified
 from corvane.llm.recovery import discard, join_small, release, stored, trimmed
@@ -34,6 +34,8 @@ SHINGLE, BANDS, ROWS, SIMILARITY = 8, 14, 5, 80
 BASE = 0x9E3779B97F4A7C15
 #: Passes in which the bands are searched, each over its part of them.
 PASSES = 2
+#: Pairs of bucket and node that a worker packs at a time, and that a slot of buckets has on average at most.
+PACKED, SLOT_PAIRS = 1 << 20, 1 << 17
 
 
 def polynomial(points: np.ndarray, size: int) -> np.ndarray:
@@ -89,7 +91,7 @@ def line_minima(lines: Sequence[str], size: int, bins: int) -> np.ndarray:
 
 
 def _lines(size: int, bands: int, rows: int):
-    """Rows (id, text) -> one row for each line with a word; ``times`` is how often the document has the line, at its first place, or else 0; buckets are with the first of equal lines in a piece only."""
+    """Rows (id, text) -> one row for each line with a word; ``times`` is how often the document has the line, at its first place, or else 0; buckets, as plain numbers, are with the first of equal lines in a piece only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in pieces(batches, "__text", 1 << 20):
@@ -99,8 +101,8 @@ def _lines(size: int, bands: int, rows: int):
             at = at - at[0]
             code, known = codes_of(flat)
             strings = known.to_pylist()
-            raw = [s.encode() for s in strings]
-            worth = np.fromiter((not s.isspace() and s != b"" for s in raw), bool, len(raw))
+            raw = known.cast(pa.binary()).to_pylist()
+            worth = np.fromiter(map(bool, map(bytes.strip, raw)), bool, len(raw))
             h1 = np.fromiter(map(xxhash.xxh3_64_intdigest, raw), np.uint64, len(raw)).view(np.int64)
             h2 = np.fromiter((xxhash.xxh64_intdigest(s, 5) for s in raw), np.uint64, len(raw)).view(np.int64)
             buckets = band_hashes(densified(line_minima(strings, size, bands * rows)), bands)
@@ -109,19 +111,94 @@ def _lines(size: int, bands: int, rows: int):
             keep = np.flatnonzero(worth[code])
             owner = lengths_to_rows(at)
             code_kept, first = code[keep], first[keep]
-            sizes = np.concatenate([[0], np.cumsum(np.where(first, bands, 0))]).astype(np.int32)
+            ends = np.concatenate([[0], np.cumsum(np.where(first, 8 * bands, 0))]).astype(np.int32)
             _, own, n = np.unique(owner[keep] << 32 | code_kept, return_index=True, return_counts=True)
             times = np.zeros(len(keep), np.int32)
             times[own] = n
-            arrays = pa.ListArray.from_arrays(pa.array(sizes), pa.array(buckets[code_kept[first]].ravel()))
+            raw = pa.Array.from_buffers(pa.binary(), len(keep), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(buckets[code_kept[first]].tobytes())])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("__id").take(pa.array(owner[keep])), pa.array((keep - at[owner[keep]]).astype(np.int32)), pa.array(h1[code_kept]), pa.array(h2[code_kept]), pa.array(times), arrays],
+                [batch.column("__id").take(pa.array(owner[keep])), pa.array((keep - at[owner[keep]]).astype(np.int32)), pa.array(h1[code_kept]), pa.array(h2[code_kept]), pa.array(times), raw],
                 ["__id", "line", "h1", "h2", "times", "buckets"],
             )
 
     return lambda batches: trimmed(run(batches))
 
 
+def _bounds(bucket: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The pairs in the order of buckets, where each bucket starts, how often it is there, and its least and greatest node."""
+    order = np.argsort(bucket)
+    bucket, node = bucket[order], node[order]
+    start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    return bucket, node, start, np.diff(np.append(start, len(bucket))), np.minimum.reduceat(node, start), np.maximum.reduceat(node, start)
+
+
+def packed_buckets(slots: int, most: int = PACKED):
+    """Rows (node, buckets as plain numbers) -> (slot, pairs): buckets and then nodes as plain numbers, for slots of buckets (a power of two of them, 2 at least) from 0.
+
+    What a worker holds of a bucket goes to its slot by the least and greatest node only, so a common bucket is never gathered there. If
+    these differ, all its pairs are members already; they are rows with a negative slot.
+    """
+
+    def pack(bucket: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+        bucket, node, start, count, lo, hi = _bounds(bucket, node)
+        several = lo < hi
+        slot, pairs = [], []
+        if several.any():
+            own = np.repeat(several, count)
+            slot.append(-1 - int(bucket[0] & 0xFFFF))  # any number will do
+            pairs.append(bucket[own].tobytes() + node[own].tobytes())
+        least = np.repeat(bucket[start], 1 + several)
+        ends = np.repeat(lo, 1 + several)
+        ends[np.cumsum(1 + several) - 1] = hi
+        where = (least >> (65 - slots.bit_length())) + slots // 2  # by its first bits, so in order
+        at = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]])).tolist()
+        for a, b in zip(at, [*at[1:], len(where)], strict=True):
+            slot.append(int(where[a]))
+            pairs.append(least[a:b].tobytes() + ends[a:b].tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(pairs, pa.binary())], ["slot", "pairs"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        n = 0
+        for batch in batches:
+            raw, at = utf8_buffer(batch.column("buckets"))
+            held.append((np.frombuffer(raw.tobytes(), np.int64), np.repeat(batch.column("node").to_numpy(zero_copy_only=False), np.diff(at) // 8)))
+            n += len(held[-1][0])
+            if n >= most:
+                yield pack(*map(np.concatenate, zip(*held, strict=True)))
+                held, n = [], 0
+        if n:
+            yield pack(*map(np.concatenate, zip(*held, strict=True)))
+
+    return lambda batches: trimmed(run(batches))
+
+
+def shared_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (slot, pairs), sorted by slot -> (bucket, node), repeated ones too, of buckets with several nodes."""
+
+    def members(slot: int, parts: list[bytes]) -> pa.RecordBatch:
+        bucket, node = np.concatenate([np.frombuffer(p, np.int64).reshape(2, -1) for p in parts], axis=1)
+        if slot >= 0:
+            bucket, node, _, count, lo, hi = _bounds(bucket, node)
+            own = np.repeat(lo < hi, count)
+            bucket, node = bucket[own], node[own]
+        return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(node)], ["bucket", "node"])
+
+    def run() -> Iterator[pa.RecordBatch]:
+        of, held = -1, []
+        for batch in batches:
+            for slot, pairs in zip(batch.column("slot").to_pylist(), batch.column("pairs").to_pylist(), strict=True):
+                if held and (slot != of or slot < 0):
+                    yield members(of, held)
+                    held = []
+                of = slot
+                held.append(pairs)
+        if held:
+            yield members(of, held)
+
+    return trimmed(run())
+
+
 def _texts_of_lines(size: int):
     """Rows (text, wanted structs of line and node) -> (node, text of the line, size and bitmap of its set)."""
 
@@ -174,7 +251,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text")).where("__id is not null and __text is not null")
-    lines = stored(base.mapInArrow(_lines(size, bands, rows), "__id long, line int, h1 long, h2 long, times int, buckets array<long>"))
+    lines = stored(base.mapInArrow(_lines(size, bands, rows), "__id long, line int, h1 long, h2 long, times int, buckets binary"))
     # the first place of each text: plain numbers, so that equal lines are put together by hash
     places = lines.where("times > 0").groupBy("h1", "h2").agg(F.min("__id").alias("i"), F.min_by("line", "__id").alias("l"), F.sum("times").alias("n"))
     kinds = stored(places.select("h1", "h2", F.struct(F.col("i").alias("__id"), F.col("l").alias("line")).alias("at"), "n"))
@@ -188,18 +265,14 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return df.join(F.broadcast(clash.withColumn("shared", F.lit(True))), "h1", "left").withColumn("node", F.when(F.col("shared"), F.xxhash64("h1", "h2")).otherwise(F.col("h1"))).drop("shared")
 
     parts, step = [], -(-bands // PASSES)
-    for start in range(1, bands + 1, step):  # some bands at a time, so that only their rows are in shuffle files together
-        spread = named(lines.where(F.size("buckets") > 0)).select(F.explode(F.slice("buckets", start, step)).alias("bucket"), "node")
-        shared = stored(spread.groupBy("bucket").count().where("count > 1").select("bucket"))
-        release(spark)
-        parts.append(stored(spread.join(shared, "bucket").distinct()))
-        discard(shared)
-        del spread, shared
+    slots = 1 << max(6, (lines.count() * step // SLOT_PAIRS).bit_length())
+    for start in range(1, bands + 1, step):  # some bands at a time, so that only their pairs are in shuffle files together
+        spread = named(lines.where(F.octet_length("buckets") > 0)).select("node", F.substring("buckets", 8 * start - 7, 8 * step).alias("buckets"))
+        packed = spread.mapInArrow(packed_buckets(slots), "slot int, pairs binary")
+        parts.append(stored(packed.repartition("slot").sortWithinPartitions("slot").mapInArrow(shared_buckets, "bucket long, node long").distinct()))
+        del spread, packed
         release(spark)
-    several = functools.reduce(DataFrame.union, parts)
-    open_buckets = several.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("bucket")
-    members = stored(several.join(open_buckets, "bucket", "left_semi"))
-    discard(*parts)
+    members = functools.reduce(DataFrame.union, parts)
 
     first = named(kinds).join(members.select("node").distinct(), "node")
     wanted = stored(first.groupBy(F.col("at.__id").alias("__id")).agg(F.collect_list(F.struct(F.col("at.line").alias("line"), "node")).alias("wanted")))
@@ -214,7 +287,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return with_b.select("a", "b", "text_a", "text_b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_confirm(size, similarity), "a long, b long")
 
     group = components(link_buckets(members, texts.select("node", "n", "bits"), confirm, similarity), "a", "b")
-    discard(members, texts)
+    discard(*parts, texts)
     linked_lines = named(kinds).join(group, "node")
     heads = linked_lines.groupBy("component").agg(F.min("at").alias("stays"))
     fuzzy = linked_lines.join(heads, "component").select("h1", "h2", "stays")
@@ -232,11 +305,11 @@ def _rebuild(names: list[str], text_at: str):
         for batch, _ in pieces(batches, "__text", 1 << 20):
             texts, n_lines, n_removed, digests = [], [], [], []
             for text, gone in zip(batch.column("__text").to_pylist(), batch.column("gone").to_pylist(), strict=True):
-                lines = text.split("\n") if text else []
-                away = {i for i in gone or () if i < len(lines)}
-                kept = text if not away else "\n".join([x for i, x in enumerate(lines) if i not in away])
+                n = text.count("\n") + 1 if text else 0
+                away = {i for i in gone or () if i < n}
+                kept = text if not away else "\n".join([x for i, x in enumerate(text.split("\n")) if i not in away])
                 texts.append(kept)
-                n_lines.append(len(lines))
+                n_lines.append(n)
                 n_removed.append(len(away))
                 digests.append(hashlib.sha256((kept or "").encode()).hexdigest())
             own = {"__kept": pa.array(texts, pa.string()), "__n_lines": pa.array(n_lines, pa.int64()), "__n_removed": pa.array(n_removed, pa.int64()), "__sha": pa.array(digests, pa.string())}

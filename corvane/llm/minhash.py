@@ -49,7 +49,7 @@ def densified(sig: np.ndarray) -> np.ndarray:
     attempt = 0
     while len(r):
         attempt += 1
-        donor = (mix64(b.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(attempt)) % np.uint64(bins)).astype(np.int64)
+        donor = (mix64(np.arange(bins, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(attempt)) % np.uint64(bins)).astype(np.int64)[b]
         ok = full[r, donor]
         sig[r[ok], b[ok]] = sig[r[ok], donor[ok]]
         r, b = r[~ok], b[~ok]

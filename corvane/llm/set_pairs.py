@@ -106,7 +106,7 @@ def cell_pairs(cross: bool, label: np.ndarray, side: np.ndarray, chunk: int = 1
 
 
 def search_cells(similarity: int, most: int):
-    """Rows (bucket, i, j, side, node, label, n, bits), sorted by cell (bucket, i, j) -> (a, b, again), a < b, that may be similar.
+    """Rows (bucket, i, j, side, node, label, n, bits), sorted by cell (bucket, i, j) -> (a, b, again, bucket), a < b, that may be similar.
 
     Of a cell with more than ``most`` such pairs for each member, every member gives the pair of the
     least bound only, and the pairs say that the bucket is to be searched again.
@@ -156,7 +156,7 @@ def search_cells(similarity: int, most: int):
                 out.append(nearest(x, y, bound) if over else (x, y, np.zeros(len(x), bool)))
         x, y, again = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0, bool))
         a, b = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(again, pa.bool_())], ["a", "b", "again"])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(again, pa.bool_()), pa.array(bucket[x], pa.int64())], ["a", "b", "again", "bucket"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -231,6 +231,12 @@ def distinct_elements(row: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.
             both = np.sort(row * space + (key - least))
             both = both[np.concatenate([[True], both[1:] != both[:-1]])]
             return both // space, both % space + least
+    known, code = np.unique(key, return_inverse=True)
+    bits = len(known).bit_length()
+    if len(row) and int(row.max()) >> (62 - bits) == 0:  # or by the rank of the key
+        both = np.sort(row.astype(np.int64) << bits | code)
+        both = both[np.concatenate([[True], both[1:] != both[:-1]])]
+        return both >> bits, known[both & ((1 << bits) - 1)]
     order = np.lexsort((key, row))
     row, key = row[order], key[order]
     fresh = np.ones(len(row), bool)

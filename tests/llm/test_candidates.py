@@ -138,3 +138,19 @@ def test_members_of_batches_that_were_sliced():
     sets = [[1, 2, 3], [1, 2, 3], [4], list(range(100))]
     bits = pa.array([b"junk", *bitmaps(sets).to_pylist()], pa.binary()).slice(1)
     assert set_pairs.Members(np.array([3, 3, 1, 100]), bits).differing(np.array([0, 0, 3]), np.array([1, 2, 2])).tolist() == [0, 4, bin(0).count("1") + set_pairs.Members(np.array([3, 3, 1, 100]), bits).differing(np.array([3]), np.array([2])).tolist()[0]]
+
+
+def test_only_crowded_buckets_are_searched_again(spark, monkeypatch):
+    """A bucket that gave all its pairs isn't dealt out again, whatever the others do."""
+    sets = [list(range(100 * i, 100 * i + 40)) for i in (0, 0, 0, 0, 0, 0, 1, 2, 3)]
+    for i, s in enumerate(sets[:6]):
+        s[i] = 10**6 + i
+    members = spark.createDataFrame([(0, i) for i in range(6)] + [(1, i) for i in (6, 7, 8)] + [(0, 8)], "bucket long, node long")
+    traits = spark.createDataFrame([(i, len(s), bytes(m)) for i, (s, m) in enumerate(zip(sets, bitmaps(sets).to_pylist(), strict=True))], "node long, n long, bits binary")
+    dealt, deal = [], components._cells
+    monkeypatch.setattr(components, "_cells", lambda labelled, block: dealt.append({r["bucket"] for r in labelled.collect()}) or deal(labelled, block))
+    confirm = lambda pairs: spark.createDataFrame([tuple(r) for r in pairs.collect() if r["a"] and similar(sets[r["a"]], sets[r["b"]])], "a long, b long")
+    links = components.link_buckets(members, traits, confirm, 80, pairs_each=1)
+    got = dict(map(tuple, components.components(links, "a", "b").collect()))
+    assert got == {i: 1 for i in range(1, 6)}
+    assert dealt[0] == {0, 1} and len(dealt) > 1 and all(d == {0} for d in dealt[1:])
