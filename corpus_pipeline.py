@@ -36,7 +36,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokenization(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with the digests of ids and decoded text."""
-    return bpe_automaton.encode_documents(spark, docs, ids=True).drop("decoded")
+    return bpe_automaton.encode_documents(spark, docs, ids=True, hold=False).drop("decoded")
 
 
 STAGES = [

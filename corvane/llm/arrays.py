@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -114,11 +115,13 @@ def map_texts(
     text_col: str = "text",
     keep: Sequence[str] = (),
     limit: int = PIECE_BYTES,
+    lent: Broadcast | None = None,
 ) -> DataFrame:
     """The id, the columns of ``keep`` and what ``work`` returns for the texts of each bounded piece.
 
     ``fields`` is the DDL of the returned columns. A kept column of the same name as a
-    returned one gives way to it; other columns of the input don't matter.
+    returned one gives way to it; other columns of the input don't matter. The value of ``lent``
+    leaves a worker's memory at the end of each task.
     """
     names = [f.split()[0] for f in fields.split(",")]
     kept = [c for c in dict.fromkeys(keep) if c not in names and c != id_col]
@@ -132,4 +135,4 @@ def map_texts(
             out = work(texts)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in first] + [x if isinstance(x, pa.Array) else pa.array(x) for x in (out[c] for c in names)], [*first, *names])
 
-    return inner.mapInArrow(lambda batches: trimmed(run(batches)), ddl).toDF(id_col, *kept, *names)
+    return inner.mapInArrow(lambda batches: trimmed(run(batches), lent), ddl).toDF(id_col, *kept, *names)

@@ -327,13 +327,14 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encode_documents(spark: SparkSession, docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
+def encode_documents(spark: SparkSession, docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", ids: bool = False, hold: bool = True) -> DataFrame:
     """Each text encoded and decoded: id, n_tokens, ids_sha256, decoded_sha256, and with ``ids`` the ids and the decoded text.
 
     Null is the empty text, which has no tokens and decodes to ''. One output row for each
     input row, repeated rows and ids included; an empty table gives an empty result. Long
     texts are handled alone, in memory in proportion to their length. No shuffle: the
-    automaton (linear in the vocabulary, so bounded) is broadcast, the rest is one map.
+    automaton (linear in the vocabulary, so bounded) is broadcast, the rest is one map. A worker
+    holds the automaton and its memos for its next task, or without ``hold`` drops them at each task's end.
     """
     shared = spark.sparkContext.broadcast(WordBpe(path or default_path()))
 
@@ -355,7 +356,7 @@ def encode_documents(spark: SparkSession, docs: DataFrame, path: str | None = No
         return out
 
     fields = "n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return map_texts(docs, work, fields + (", ids array<int>, decoded string" if ids else ""), id_col, text_col, limit=1 << 20)
+    return map_texts(docs, work, fields + (", ids array<int>, decoded string" if ids else ""), id_col, text_col, limit=1 << 20, lent=None if hold else shared)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

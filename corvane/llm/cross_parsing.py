@@ -222,13 +222,14 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return CrossParser(by_language)
 
 
-def identify(docs: DataFrame, model: CrossParser, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+def identify(docs: DataFrame, model: CrossParser, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = (), hold: bool = True) -> DataFrame:
     """Per document: id, ``keep``, held_out, lang_pred and score (0 to 1; 0.5 if two languages fit alike).
 
     A null text, or one without letters, is ``und`` with score 0. Whole texts are parsed, long
     ones too; repeated rows each get a row, an empty table an empty result. A null id isn't
     held out. A kept column that is called like a result gives way to it. No shuffle; the
-    broadcast tables are bounded by ALL_TRAINING characters.
+    broadcast tables are bounded by ALL_TRAINING characters. A worker holds them for its next task, or
+    without ``hold`` drops them at each task's end.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -236,7 +237,7 @@ def identify(docs: DataFrame, model: CrossParser, id_col: str = "doc_id", text_c
         lang, score = shared.value.predict(texts.to_pylist())
         return {"lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64())}
 
-    found = map_texts(docs, work, "lang_pred string, score double", id_col, text_col, [k for k in keep if k != "held_out"], limit=1 << 20)
+    found = map_texts(docs, work, "lang_pred string, score double", id_col, text_col, [k for k in keep if k != "held_out"], limit=1 << 20, lent=None if hold else shared)
     return found.select(*[c for c in found.columns if c not in ("lang_pred", "score")], held_out(id_col).alias("held_out"), "lang_pred", "score")
 
 
@@ -247,7 +248,7 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Ties go to the first language by name; repeated rows are treated alike; an empty table stays empty.
     """
     plain, (i, text, lang) = with_own_names(docs, id_col, text_col, lang_col)
-    found = identify(plain, learn(plain, i, text, lang), i, text, keep=plain.columns)
+    found = identify(plain, learn(plain, i, text, lang), i, text, keep=plain.columns, hold=False)
     return found.where(F.col("lang_pred") != UNKNOWN).select(*plain.columns).toDF(*docs.columns)
 
 

@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,9 +64,15 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def trimmed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches of a worker, which then gives the memory it has freed back to the machine."""
+def trimmed(batches: Iterable[pa.RecordBatch], lent: Broadcast | None = None) -> Iterator[pa.RecordBatch]:
+    """The batches of a worker, which then gives the memory it has freed back to the machine, and the value of ``lent`` with it.
+
+    A worker otherwise keeps a broadcast value until its next task of another stage, also while it is idle and
+    others work. The value is read again from the executor's file when a task asks for it.
+    """
     yield from batches
+    if getattr(lent, "_path", None) is not None:  # with encryption there is no file to read again
+        vars(lent).pop("_value", None)
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
