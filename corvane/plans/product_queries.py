@@ -139,7 +139,8 @@ def evidence(spark, sf):
 def checks(spark, sf):
     li = table(spark, sf, "lineitem").where("l_quantity < 40")
     verdict = F.when(F.col("l_returnflag") == "A", "does").when(F.col("l_returnflag") == "R", "not").when(F.col("l_tax") > 0.05, "none").otherwise("maybe")
-    return li.select(F.col("l_orderkey").alias("unit"), _cat("f", (F.col("l_suppkey") % 7).cast("string")).alias("file"), F.least("l_linenumber", F.lit(5)).alias("line"), verdict.alias("verdict"), F.col("l_linenumber").alias("position"))
+    """Checks of order lines; of those with one position the earlier row of the table comes first, as its SQL takes them in a scan in order."""
+    return li.select(F.col("l_orderkey").alias("unit"), _cat("f", (F.col("l_suppkey") % 7).cast("string")).alias("file"), F.least("l_linenumber", F.lit(5)).alias("line"), verdict.alias("verdict"), F.struct("l_linenumber", "_metadata.file_name", "_metadata.row_index").alias("position"))
 
 
 CHECKED = """ev AS (SELECT l_orderkey AS unit, 'f' || (l_suppkey % 7) AS file, l_linenumber AS line FROM lineitem), ck AS (SELECT l_orderkey AS unit, 'f' || (l_suppkey % 7) AS file, least(l_linenumber, 5) AS line, CASE l_returnflag WHEN 'A' THEN 'does' WHEN 'R' THEN 'not' ELSE CASE WHEN l_tax > 0.05 THEN 'none' ELSE 'maybe' END END AS verdict, l_linenumber AS position FROM lineitem WHERE l_quantity < 40),
