@@ -12,6 +12,7 @@ from corvane.operators import merging as M
 from corvane.operators import tables as T
 from corvane.operators import tour as U
 from corvane.plans.roles import CHANGES_SQL, FILES_SQL, changes, supplier_paths, table
+from corvane.session import tasks_for
 
 _s = lambda c: F.col(c).cast("string")
 _cat = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in xs])
@@ -19,7 +20,8 @@ _cat = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in xs]
 
 def renames(spark, sf):
     """A history: orders, newest first, change 60 paths; lines of certain quantities are renames, additions and deletions."""
-    rows = table(spark, sf, "lineitem").groupBy("l_orderkey", (F.col("l_suppkey") % 60).alias("k")).agg(F.min(F.struct("l_linenumber", "l_partkey", "l_quantity")).alias("f")).select("l_orderkey", "k", F.col("f.l_quantity").alias("q"), F.col("f.l_partkey").alias("p"))
+    lines = table(spark, sf, "lineitem")
+    rows = lines.repartition(tasks_for(lines), "l_orderkey").groupBy("l_orderkey", (F.col("l_suppkey") % 60).alias("k")).agg(F.min(F.struct("l_linenumber", "l_partkey", "l_quantity")).alias("f")).select("l_orderkey", "k", F.col("f.l_quantity").alias("q"), F.col("f.l_partkey").alias("p"))
     path, old = _cat("f", _s("k")), _cat("f", (F.col("p") % 60).cast("string"))
     moved = (F.col("q") == 50) & (path != old)
     return rows.select((-F.col("l_orderkey")).alias("commit_seq"), F.when(moved, "R").when(F.col("q") == 1, "A").when(F.col("q") == 2, "D").otherwise("M").alias("status"), path.alias("path"), F.when(moved, old).alias("old_path"))
@@ -137,9 +139,9 @@ def evidence(spark, sf):
 
 
 def checks(spark, sf):
+    """Checks of order lines; of those with one position the earlier row of the table comes first, as its SQL takes them in a scan in order."""
     li = table(spark, sf, "lineitem").where("l_quantity < 40")
     verdict = F.when(F.col("l_returnflag") == "A", "does").when(F.col("l_returnflag") == "R", "not").when(F.col("l_tax") > 0.05, "none").otherwise("maybe")
-    """Checks of order lines; of those with one position the earlier row of the table comes first, as its SQL takes them in a scan in order."""
     return li.select(F.col("l_orderkey").alias("unit"), _cat("f", (F.col("l_suppkey") % 7).cast("string")).alias("file"), F.least("l_linenumber", F.lit(5)).alias("line"), verdict.alias("verdict"), F.struct("l_linenumber", "_metadata.file_name", "_metadata.row_index").alias("position"))
 
 

@@ -31,6 +31,23 @@ def checkpointed(df):
     return df.checkpoint()
 
 
+# Bytes of the sources behind the rows of one task, and the most tasks of one shuffle.
+TASK_BYTES, MOST_TASKS = 4 << 20, 20_000
+
+
+def tasks_for(df) -> int:
+    """How many tasks a shuffle of these rows needs so that a task's share stays the same as tables grow: by the bytes of the files that they come from, without running anything; the session's number where that is unknown.
+
+    Adaptive execution joins partitions by their compressed bytes, until few hold very many rows; a number that is given stays.
+    """
+    size, leaves = 0, df._jdf.queryExecution().analyzed().collectLeaves()
+    for i in range(leaves.size()):
+        size += int(leaves.apply(i).stats().sizeInBytes())
+    if size >= 1 << 60:
+        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(MOST_TASKS, size // TASK_BYTES + 1)
+
+
 def ranked(df, *keys: str):
     """With ``__rank``, from 0 by the keys, whose values are distinct: rows are range-partitioned and kept, and a partition starts at the number of rows before it, so no task sorts everything and one number for each partition comes to the driver."""
     from pyspark.sql import Window

@@ -25,3 +25,34 @@ def test_first_checks_are_those_of_the_table_in_any_order_of_rows(spark):
         dealt = checks.orderBy(F.rand(seed))
         units = tables.join_checks(product_queries.evidence(spark, SMALLEST), dealt)[0]
         assert not differences(units, product_queries.oracle_sql()["checked_units"], SMALLEST)
+
+
+@pytest.mark.parametrize("eras", [1, 2, 7, 40])
+def test_newest_event_of_earlier_eras(spark, eras):
+    paths = {"hot": range(0, 120, 2), "cold": [5, 77], "new": [3], "never": [8, 9]}
+    asked = [(p, s) for p, seqs in paths.items() for s in seqs]
+    events = [("hot", 10), ("hot", 11), ("hot", 100), ("cold", 5), ("new", 50)]
+    rows = spark.createDataFrame(asked, "path string, commit_seq long")
+    given = spark.createDataFrame([(p, s, (s, f"{p}{s}")) for p, s in events], "path string, commit_seq long, event struct<commit_seq: long, to: string>")
+    want = [(p, s, max((e for q, e in events if q == p and e < s), default=None)) for p, s in asked]
+    got = [(r["path"], r["commit_seq"], r["event"] and r["event"]["commit_seq"]) for r in lineage._newest(rows, given, eras).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_a_path_is_split_over_eras(spark):
+    rows = spark.range(2000).select(F.lit("hot").alias("path"), F.col("id").alias("commit_seq"))
+    none = rows.limit(0).withColumn("event", F.struct("commit_seq", F.lit("").alias("to")))
+    spread = lineage._eras(rows, "commit_seq", 8).groupBy("era").count().collect()
+    assert len(spread) == 8 and max(r["count"] for r in spread) < 400
+    assert lineage._newest(rows, none, 8).where("event is null").count() == 2000
+
+
+def test_changes_without_a_next_file_stay_out_of_joins(spark):
+    rows = [(i, "M", f"p{i % 9}", None) for i in range(100)] + [(200, "R", "p3", "p1"), (150, "R", "p1", "p0")]
+    found = lineage.follow_renames(spark.createDataFrame(rows, "commit_seq long, status string, path string, old_path string"), spark.createDataFrame([(f"p{i}",) for i in range(9)], "path string"))
+    assert "isnull(next" in shown(found).replace("#", "").lower() and "Union" in shown(found)
+    assert found.count() == 102
+
+
+def given_numbers(df) -> list[int]:
+    return [int(n) for n in re.findall(r"(\d+)\), REPARTITION_BY_NUM", shown(df))]
