@@ -56,3 +56,25 @@ def test_changes_without_a_next_file_stay_out_of_joins(spark):
 
 def given_numbers(df) -> list[int]:
     return [int(n) for n in re.findall(r"(\d+)\), REPARTITION_BY_NUM", shown(df))]
+
+
+def test_closures_broadcast_nothing(spark):
+    pairs = spark.createDataFrame([(k, k // 2) for k in range(2, 40)], "sub long, super long")
+    declared = pairs.select(F.col("super").alias("owner"), F.lit("m").alias("method")).distinct()
+    seen = []
+    real = resolve.checkpointed
+
+    def kept(df):
+        seen.append(shown(df))
+        return real(df)
+
+    resolve.checkpointed = kept
+    try:
+        closure = resolve.subtype_closure(pairs)
+        seen.append(shown(resolve.nearest_declaring(closure, declared)))
+        bindings = pairs.select(F.col("sub").cast("string").alias("path"), F.lit("X").alias("name"), F.col("super").cast("string").alias("from_path"), F.lit("X").alias("from_name"))
+        assert resolve.follow_bindings(bindings, spark.createDataFrame([("1", "X")], "path string, name string")).count() == 38
+    finally:
+        resolve.checkpointed = real
+    assert closure.count() == sum(k.bit_length() - 1 for k in range(2, 40))
+    assert any("SortMergeJoin" in x for x in seen) and not any("BroadcastHashJoin" in x for x in seen)
