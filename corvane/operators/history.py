@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.numbers import share
 from corvane.functions.paths import ancestor_dirs
+from corvane.session import checkpointed, tasks_for
 
 MAX_FILES, MIN_TOGETHER = 30, 3
 
@@ -54,20 +55,36 @@ def directory_rows(files: DataFrame, changes: DataFrame) -> DataFrame:
 
 def commits_by_year(changes: DataFrame) -> DataFrame:
     """(path, year, commits) for each directory and every year between the first and the last commit, zeros included."""
-    own = changes.select("commit", F.year("changed_at").alias("year"), F.explode(ancestor_dirs(F.col("path"))).alias("dir")).distinct()
-    counts = own.groupBy("dir", "year").agg(F.count_distinct("commit").alias("commits"))
-    years = changes.agg(F.min(F.year("changed_at")).alias("lo"), F.max(F.year("changed_at")).alias("hi")).where("lo is not null").select(F.explode(F.sequence("lo", "hi")).alias("year"))
+def _directories(changes: DataFrame, *columns: str) -> DataFrame:
+    """(columns, dir), each once, for all directories above the changed paths; ``columns`` begin with commit.
+
+    Rows are dealt by commit once, made distinct by the innermost directory, then by each, all in the same task.
+    """
+    own = changes.select(*columns, F.element_at(ancestor_dirs(F.col("path")), -1).alias("inner")).repartition(tasks_for(changes), columns[0]).distinct()
+    above = F.when(F.col("inner") == ".", F.array(F.lit("."))).otherwise(ancestor_dirs(F.concat("inner", F.lit("/"))))
+    return own.select(*columns, F.explode(above).alias("dir")).distinct()
+
+
+    own = _directories(changes.select("commit", F.year("changed_at").alias("year"), "path"), "commit", "year")
+    counts = checkpointed(own.groupBy("dir", "year").agg(F.count("commit").alias("commits")))  # a row for each directory and year
+    years = counts.agg(F.min("year").alias("lo"), F.max("year").alias("hi")).where("lo is not null").select(F.explode(F.sequence("lo", "hi")).alias("year"))
     grid = counts.select("dir").distinct().join(years)  # a row for each year of the range, few for any history
     return grid.join(counts, ["dir", "year"], "left").select(F.col("dir").alias("path"), "year", F.coalesce("commits", F.lit(0)).alias("commits"))
 
 
 def concentration(changes: DataFrame, is_bot: Column) -> DataFrame:
-    """Per directory: commits by people, the top author's share, and the fewest authors of 80 % of them."""
-    own = changes.where(~is_bot).select("commit", "author", F.explode(ancestor_dirs(F.col("path"))).alias("dir")).distinct()
-    counts = own.groupBy("dir", "author").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("dir").orderBy(F.desc("n"), "author")
-    ranked = counts.select("dir", "n", F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy("dir")).alias("total"))
-    return ranked.groupBy("dir").agg(F.sum("n").alias("commits_by_people"), F.max("n").alias("top"), F.count_if(F.expr("before * 5 < total * 4")).alias("authors_for_80")).select(F.col("dir").alias("path"), "commits_by_people", share(F.col("top"), F.col("commits_by_people")).alias("top_author_share"), "authors_for_80")
+    """Per directory: commits by people, the top author's share, and the fewest authors of 80 % of them.
+
+    Only how many authors have how many commits counts, so directories sort these numbers instead of all authors.
+    """
+    own = _directories(changes.where(~is_bot), "commit", "author")
+    counts = own.repartition(tasks_for(changes), "dir", "author").groupBy("dir", "author").agg(F.count("*").alias("n")).groupBy("dir", "n").agg(F.count("*").alias("k"))
+    w = Window.partitionBy("dir").orderBy(F.desc("n"))
+    own = F.col("n") * F.col("k")
+    ranked = counts.select("dir", "n", "k", F.coalesce(F.sum(own).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum(own).over(Window.partitionBy("dir")).alias("total"))
+    # of k authors with n commits each, those before whom there are less than 80 % of all
+    few = ranked.withColumn("needed", F.expr("case when before * 5 < total * 4 then least(k, (total * 4 - before * 5 - 1) div (5 * n) + 1) else 0 end"))
+    return few.groupBy("dir").agg(F.max("total").alias("commits_by_people"), F.max("n").alias("top"), F.sum("needed").alias("authors_for_80")).select(F.col("dir").alias("path"), "commits_by_people", share(F.col("top"), F.col("commits_by_people")).alias("top_author_share"), "authors_for_80")
 
 
 def commit_files(changes: DataFrame) -> DataFrame:

@@ -54,10 +54,44 @@ def test_changes_without_a_next_file_stay_out_of_joins(spark):
     assert found.count() == 102
 
 
+CHANGES = [("a/b/x", 1, 7, "2001-01-01", 1, 2), ("a/b/x", 1, 7, "2001-01-01", 3, 4), ("a/b/y", 1, 7, "2001-01-01", None, 2), ("a/z", 2, 7, "2003-05-01", 1, 1), ("top", 3, 8, "2003-05-01", 1, 0), ("a/b/x", 4, 9, "2003-06-01", 0, 0), ("a/b/x", 5, 9, "2003-06-01", 0, 0), ("a/b/y", 6, 6, "2003-06-01", 0, 0)]
+
+
+@pytest.fixture(scope="module")
+def changes(spark):
+    rows = spark.createDataFrame(CHANGES, "path string, commit long, author long, at string, added long, removed long")
+    return rows.withColumn("changed_at", F.to_timestamp("at")).drop("at")
+
+
 def given_numbers(df) -> list[int]:
     return [int(n) for n in re.findall(r"(\d+)\), REPARTITION_BY_NUM", shown(df))]
 
 
+def test_concentration_needs_no_order_of_all_authors(changes):
+    commits = defaultdict(lambda: defaultdict(set))
+    for path, commit, author, *_ in CHANGES:
+        parts = path.split("/")[:-1]
+        for d in [".", *["/".join(parts[: i + 1]) for i in range(len(parts))]]:
+            commits[d][author].add(commit)
+    want = []
+    for d, by in commits.items():
+        sizes, before, few = sorted((len(c) for c in by.values()), reverse=True), 0, 0
+        for n in sizes:
+            few += before * 5 < sum(sizes) * 4
+            before += n
+        want.append((d, sum(sizes), int(sizes[0] * 100 / sum(sizes) + 0.5) / 100, few))
+    df = history.concentration(changes, F.lit(False))
+    assert sorted(map(tuple, df.collect())) == sorted(want)
+    assert "author" not in "".join(x for x in shown(df).splitlines() if "Window" in x)
+
+
+def test_years_come_from_the_counts(changes):
+    df = history.commits_by_year(changes)
+    got = {(r["path"], r["year"]): r["commits"] for r in df.collect()}
+    assert got[".", 2001] == 1 and got[".", 2002] == 0 and got[".", 2003] == 5 and got["a/b", 2003] == 3 and len(got) == 9
+    assert "changed_at" not in shown(df)  # the changes are read once, for what is kept
+
+
 def test_closures_broadcast_nothing(spark):
     pairs = spark.createDataFrame([(k, k // 2) for k in range(2, 40)], "sub long, super long")
     declared = pairs.select(F.col("super").alias("owner"), F.lit("m").alias("method")).distinct()
