@@ -88,18 +88,20 @@ def concentration(changes: DataFrame, is_bot: Column) -> DataFrame:
 
 
 def commit_files(changes: DataFrame) -> DataFrame:
-    return changes.select("path", "commit").distinct()
+    return changes.select("path", "commit").repartition(tasks_for(changes), "path", "commit").distinct()
 
 
 def co_change(changes: DataFrame, max_files: int = MAX_FILES, min_together: int = MIN_TOGETHER) -> DataFrame:
     """Pairs a < b that change together in at least ``min_together`` commits of 2 to ``max_files`` files, with both shares.
 
-    The size rule bounds the pairs of a commit, so the self-join on the commit can't explode.
+    The size rule bounds the pairs of a commit, so the self-join on the commit can't explode. Shuffles have as many tasks as
+    the changes need, as pairs are several times as many.
     """
-    pairs = commit_files(changes)
+    pairs, n = commit_files(changes), tasks_for(changes)
     sized = pairs.groupBy("commit").agg(F.count("*").alias("n")).where(F.col("n").between(2, max_files)).select("commit")
-    small = pairs.join(sized, "commit", "left_semi")
-    together = small.select("commit", F.col("path").alias("a")).join(small.select("commit", F.col("path").alias("b")), "commit").where("a < b").groupBy("a", "b").agg(F.count("*").alias("together")).where(F.col("together") >= min_together)
+    small = pairs.repartition(n, "commit").join(sized.repartition(n, "commit").hint("merge"), "commit", "left_semi")
+    both = small.select("commit", F.col("path").alias("a")).join(small.select("commit", F.col("path").alias("b")).hint("merge"), "commit").where("a < b").select("a", "b")
+    together = both.repartition(n, "a", "b").groupBy("a", "b").agg(F.count("*").alias("together")).where(F.col("together") >= min_together)
     totals = pairs.groupBy("path").agg(F.count("*").alias("n"))
     out = together.join(totals.select(F.col("path").alias("a"), F.col("n").alias("na")), "a").join(totals.select(F.col("path").alias("b"), F.col("n").alias("nb")), "b")
     return out.select("a", "b", "together", share(F.col("together"), F.col("na")).alias("share_of_a"), share(F.col("together"), F.col("nb")).alias("share_of_b"))

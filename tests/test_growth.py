@@ -67,6 +67,17 @@ def given_numbers(df) -> list[int]:
     return [int(n) for n in re.findall(r"(\d+)\), REPARTITION_BY_NUM", shown(df))]
 
 
+def test_shuffles_of_changes_have_tasks_by_size(spark, changes):
+    files = changes.select("path", F.lit(3).alias("lines"), F.lit(True).alias("covered")).distinct()
+    n = tasks_for(changes)
+    assert given_numbers(history.co_change(changes)) and set(given_numbers(history.co_change(changes))) == {n}
+    assert set(given_numbers(history.file_rows(files, changes))) == {n}
+    assert set(given_numbers(history.concentration(changes, F.lit(False)))) == {n}
+    large = spark.read.parquet("/root/testdata/sf0.1/lineitem.parquet")
+    assert tasks_for(large) > tasks_for(spark.read.parquet(f"{SMALLEST}/lineitem.parquet")) == 1
+    assert "Expand" not in shown(history.file_rows(files, changes))
+
+
 def test_concentration_needs_no_order_of_all_authors(changes):
     commits = defaultdict(lambda: defaultdict(set))
     for path, commit, author, *_ in CHANGES:
