@@ -20,15 +20,17 @@ MAX_FILES, MIN_TOGETHER = 30, 3
 def file_rows(files: DataFrame, changes: DataFrame) -> DataFrame:
     """Per file: commits, authors, added, removed (null if any change is binary), last_changed, lines and score = commits x lines.
 
-    All are null for files that no history covers; a covered file without changes has zeros.
+    All are null for files that no history covers; a covered file without changes has zeros. Commits and authors
+    are made distinct in shuffles of their own, so a task holds its share of one pair only and a hot file is split.
     """
-    seen = changes.groupBy("path").agg(
-        F.count_distinct("commit").alias("c"), F.count_distinct("author").alias("a"), F.sum("added").alias("plus"), F.sum("removed").alias("minus"),
-        F.bool_or(F.col("added").isNull() | F.col("removed").isNull()).alias("binary"), F.max("changed_at").alias("last"),
-    )
+    n = tasks_for(changes)
+    rows = changes.withColumn("binary", F.col("added").isNull() | F.col("removed").isNull())
+    by_commit = rows.repartition(n, "path", "commit").groupBy("path", "commit").agg(F.sum("added").alias("plus"), F.sum("removed").alias("minus"), F.bool_or("binary").alias("binary"), F.max("changed_at").alias("last"))
+    seen = by_commit.groupBy("path").agg(F.count("commit").alias("c"), F.sum("plus").alias("plus"), F.sum("minus").alias("minus"), F.bool_or("binary").alias("binary"), F.max("last").alias("last"))
+    authors = changes.select("path", "author").repartition(n, "path", "author").distinct().groupBy("path").agg(F.count("author").alias("a"))
     covered = F.col("covered")
     known = lambda c: F.when(covered, F.coalesce(c, F.lit(0)))
-    rows = files.join(seen, "path", "left")
+    rows = files.join(seen, "path", "left").join(authors, "path", "left")
     commits = known(F.col("c"))
     return rows.select(
         "path", commits.alias("commits"), known(F.col("a")).alias("authors"), F.when(~F.coalesce("binary", F.lit(False)), known(F.col("plus"))).alias("added"),
@@ -53,8 +55,6 @@ def directory_rows(files: DataFrame, changes: DataFrame) -> DataFrame:
     return sums.join(counts, "dir", "left").select(F.col("dir").alias("path"), "files", "lines", known("c").alias("commits"), known("a").alias("authors"), "added", "removed", "score", "last_changed")
 
 
-def commits_by_year(changes: DataFrame) -> DataFrame:
-    """(path, year, commits) for each directory and every year between the first and the last commit, zeros included."""
 def _directories(changes: DataFrame, *columns: str) -> DataFrame:
     """(columns, dir), each once, for all directories above the changed paths; ``columns`` begin with commit.
 
@@ -65,6 +65,8 @@ def _directories(changes: DataFrame, *columns: str) -> DataFrame:
     return own.select(*columns, F.explode(above).alias("dir")).distinct()
 
 
+def commits_by_year(changes: DataFrame) -> DataFrame:
+    """(path, year, commits) for each directory and every year between the first and the last commit, zeros included."""
     own = _directories(changes.select("commit", F.year("changed_at").alias("year"), "path"), "commit", "year")
     counts = checkpointed(own.groupBy("dir", "year").agg(F.count("commit").alias("commits")))  # a row for each directory and year
     years = counts.agg(F.min("year").alias("lo"), F.max("year").alias("hi")).where("lo is not null").select(F.explode(F.sequence("lo", "hi")).alias("year"))
