@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 
 def split_identifier(text: Column) -> Column:
-    """ASCII words in lower case, cut at camel humps, acronyms and anything that is no letter or digit."""
-    cut = F.regexp_replace(F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1_$2"), "([A-Z]+)([A-Z][a-z])", "$1_$2")
-    return F.transform(F.filter(F.split(cut, "[^A-Za-z0-9]+"), lambda w: w != ""), F.lower)
+    """ASCII words in lower case, cut at camel humps, acronyms and anything that is no letter or digit.
+
+    Words are read off in one pass: capitals up to one that begins a capitalized word, with what follows, or else a word
+    with at most one capital. So a long run of capitals takes time in proportion.
+    """
+    return F.transform(F.regexp_extract_all(text, F.lit("[A-Z]+(?![a-z])[a-z0-9]*|[A-Z]?[a-z0-9]+"), F.lit(0)), F.lower)
 
 
 def normalize_signature(params: Column, returns: Column | None = None) -> Column:

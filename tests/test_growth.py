@@ -1,11 +1,13 @@
 """Steps whose memory, rows in one task or rows through the driver must not grow with the tables."""
 
 import re
+import time
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
+from corvane.functions import text
 from corvane.operators import history, lineage, resolve, tables
 from corvane.plans import product_queries
 from corvane.session import tasks_for
@@ -123,3 +125,14 @@ def test_closures_broadcast_nothing(spark):
         resolve.checkpointed = real
     assert closure.count() == sum(k.bit_length() - 1 for k in range(2, 40))
     assert any("SortMergeJoin" in x for x in seen) and not any("BroadcastHashJoin" in x for x in seen)
+
+
+def test_identifier_words_in_one_pass(spark):
+    cut = lambda t: re.sub("([A-Z]+)([A-Z][a-z])", r"\1_\2", re.sub("([a-z0-9])([A-Z])", r"\1_\2", t))
+    texts = ["", "  ", "a", "aB", "ABc", "HTTPServer", "ABC123def", "A1B", "a1Bc2D", "éAb", "aÉB", "__a__B", "İstanbulK", "ABcDEFgh12IJ", "ſK", "x-Y", "Aé", "A\u0000b"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.split_identifier(F.col("t")).alias("w"))
+    assert {r["t"]: r["w"] for r in df.collect()} == {t: [w.lower() for w in re.split("[^A-Za-z0-9]+", cut(t)) if w] for t in texts}
+    began = time.monotonic()
+    long = spark.range(1).select(F.repeat(F.lit("X"), 400_000).alias("t"), F.lit(None).cast("string").alias("none"))
+    r = long.select(F.size(text.split_identifier(F.col("t"))).alias("n"), text.split_identifier(F.col("none")).alias("none")).first()
+    assert (r["n"], r["none"]) == (1, None) and time.monotonic() - began < 20
