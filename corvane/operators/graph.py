@@ -31,23 +31,34 @@ def one_hop(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return seeds.select("node").unionByName(near).distinct()
 
 
-def levels(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None, directed: bool = False, types: Sequence[str] | None = None) -> DataFrame:
-    """(node, hop): how many edges each node reached is away from the nearest seed. Nodes are visited once; cycles end."""
-    if directed:
-        e = edges if types is None else edges.where(F.col("type").isin(*types))
-        step = e.select(F.col("source").alias("node"), F.col("target").alias("to")).distinct()
-    else:
-        step = adjacency(edges, types).select("node", "to").distinct()
-    step = checkpointed(step)
+# A frontier of fewer nodes than this is broadcast, after it has been counted; 2^16 nodes are a few MB.
+FEW_NODES = 1 << 16
+
+
+def levels(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None, directed: bool = False, types: Sequence[str] | None = None, targets: Sequence = ()) -> DataFrame:
+    """(node, hop): how many edges each node reached is away from the nearest seed. Nodes are visited once; cycles end. With targets, nothing beyond the first level that has one.
+
+    Edges are kept once for both directions. They meet a small frontier where they lie; only a large one makes them move.
+    """
+    e = edges if types is None else edges.where(F.col("type").isin(*types))
+    step = checkpointed(e.select(F.col("source").alias("node"), F.col("target").alias("to")))
+    ways = [step] if directed else [step, step.select(F.col("to").alias("node"), F.col("node").alias("to"))]
     seen = frontier = checkpointed(seeds.select("node").distinct().withColumn("hop", F.lit(0)))
-    hop = 0
-    while max_hops is None or hop < max_hops:
+    size, hop = frontier.count(), 0
+    found = bool(targets) and not frontier.where(F.col("node").isin(*targets)).isEmpty()
+    while size and not found and (max_hops is None or hop < max_hops):
         hop += 1
-        ahead = step.join(frontier.select("node"), "node", "left_semi").select(F.col("to").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
-        frontier = checkpointed(ahead.withColumn("hop", F.lit(hop)))
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
+        few = size < FEW_NODES
+        near = F.broadcast(frontier.select("node")) if few else frontier.select("node").hint("merge")  # few by the count
+        ahead = None
+        for way in ways:
+            part = way.join(near, "node", "left_semi").select(F.col("to").alias("node"))
+            ahead = part if ahead is None else ahead.unionByName(part)
+        frontier = checkpointed(ahead.distinct().join(seen.select("node").hint("merge"), "node", "left_anti").withColumn("hop", F.lit(hop)))
+        size = frontier.count()
+        if size:
+            seen = seen.unionByName(frontier)
+            found = bool(targets) and not frontier.where(F.col("node").isin(*targets)).isEmpty()
     return seen
 
 
@@ -122,7 +133,7 @@ def shortest_path(edges: DataFrame, seeds: Sequence, targets: Sequence, max_hops
     """(pos, node): one shortest undirected path from a seed to a target, of equal ones that with the least nodes from the target back; empty if there is none in reach."""
     spark = edges.sparkSession
     kind = edges.schema["source"].dataType.simpleString()
-    reached = levels(edges, spark.createDataFrame([(s,) for s in seeds], f"node {kind}"), max_hops, types=types)
+    reached = levels(edges, spark.createDataFrame([(s,) for s in seeds], f"node {kind}"), max_hops, types=types, targets=targets)
     end = reached.where(F.col("node").isin(*targets)).orderBy("hop", "node").first()
     path = []
     if end is not None:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.functions import text
-from corvane.operators import history, lineage, resolve, tables
+from corvane.operators import graph, history, lineage, resolve, tables
 from corvane.plans import product_queries
 from corvane.session import tasks_for
 from tests.oracle import differences
@@ -136,3 +136,21 @@ def test_identifier_words_in_one_pass(spark):
     long = spark.range(1).select(F.repeat(F.lit("X"), 400_000).alias("t"), F.lit(None).cast("string").alias("none"))
     r = long.select(F.size(text.split_identifier(F.col("t"))).alias("n"), text.split_identifier(F.col("none")).alias("none")).first()
     assert (r["n"], r["none"]) == (1, None) and time.monotonic() - began < 20
+
+
+def test_levels_move_edges_for_large_frontiers_only(spark, monkeypatch):
+    rows = [(i, i + 1, "t") for i in range(12)] + [(0, 3, "t"), (0, 3, "t")]
+    edges, seeds = spark.createDataFrame(rows, "source long, target long, type string"), spark.createDataFrame([(0,)], "node long")
+    plans, real = [], graph.checkpointed
+    monkeypatch.setattr(graph, "checkpointed", lambda df: plans.append(shown(df)) or real(df))
+    want = sorted([(0, 0), (1, 1), (3, 1), (2, 2), (4, 2), (5, 3)])
+    assert sorted(map(tuple, graph.levels(edges, seeds, 3).collect())) == want
+    assert all(x.count("BroadcastHashJoin") == 2 for x in plans[2:])
+    monkeypatch.setattr(graph, "FEW_NODES", 0)
+    plans.clear()
+    assert sorted(map(tuple, graph.levels(edges, seeds, 3).collect())) == want
+    assert not any("BroadcastHashJoin" in x for x in plans)
+    plans.clear()
+    assert graph.shortest_path(edges, [0], [2], 8).count() == 3
+    assert len(plans) == 4  # edges, seeds and two levels: nothing beyond the target
+    assert graph.shortest_path(edges, [0], [0, 2], 8).count() == 1
