@@ -154,3 +154,29 @@ def test_levels_move_edges_for_large_frontiers_only(spark, monkeypatch):
     assert graph.shortest_path(edges, [0], [2], 8).count() == 3
     assert len(plans) == 4  # edges, seeds and two levels: nothing beyond the target
     assert graph.shortest_path(edges, [0], [0, 2], 8).count() == 1
+
+
+def test_communities_of_many_neighbours_as_by_single_steps(spark, monkeypatch):
+    pairs = [(i, j) for i in range(70) for j in range(70) if i != j and (i * 31 + j * 17) % 5 < (4 if i % 3 == j % 3 else 1)]
+    edges, components = spark.createDataFrame(pairs, "source long, target long"), spark.range(70).select(F.col("id").alias("node"), F.lit(0).alias("component"))
+    near: dict = {}
+    for a, b in pairs:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    total, group, weight = 2 * len(pairs), {n: n for n in near}, {n: len(v) for n, v in near.items()}
+    for _ in range(20):
+        before = dict(group)
+        for n in sorted(near):
+            links: dict = {}
+            for m in near[n]:
+                links[group[m]] = links.get(group[m], 0) + 1
+            weight[own := group[n]] -= len(near[n])
+            group[n] = min({*links, own}, key=lambda g: (weight[g] * len(near[n]) / total - links.get(g, 0), g != own, g))
+            weight[group[n]] += len(near[n])
+        if group == before:
+            break
+    want = sorted((n, min(m for m in group if group[m] == g)) for n, g in group.items())
+    assert len({c for _, c in want}) > 1 and max(map(len, near.values())) > graph.FEW_NEIGHBOURS
+    assert sorted(map(tuple, graph.communities(edges, components).collect())) == want
+    monkeypatch.setattr(graph, "FEW_NEIGHBOURS", 10**9)
+    assert sorted(map(tuple, graph.communities(edges, components).collect())) == want
