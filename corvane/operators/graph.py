@@ -88,12 +88,59 @@ def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         labels = now
 
 
+# Up to so many edges one task finishes strong components, after they have been counted; it holds some 50 MB then.
+FEW_EDGES = 1 << 17
+
+
+def _strong_in_one_task(links: DataFrame) -> DataFrame:
+    """(node, component) of nodes with edges, by Tarjan's search without recursion; for few edges."""
+    kind = links.schema["source"].dataType.simpleString()
+
+    def search(parts):
+        ahead: dict = {}
+        for part in parts:
+            for a, b in zip(part["source"].tolist(), part["target"].tolist(), strict=True):
+                ahead.setdefault(a, []).append(b)
+                ahead.setdefault(b, [])
+        place, low, held, stack, out = {}, {}, set(), [], []
+        for root in ahead:
+            work = [] if root in place else [(root, iter(ahead[root]))]
+            if work:
+                place[root] = low[root] = len(place)
+                stack.append(root)
+                held.add(root)
+            while work:
+                n, rest = work[-1]
+                m = next((m for m in rest if m not in place or m in held), None)
+                if m is None:
+                    work.pop()
+                    if work:
+                        low[work[-1][0]] = min(low[work[-1][0]], low[n])
+                    if low[n] == place[n]:
+                        own = [stack.pop()]
+                        while own[-1] != n:
+                            own.append(stack.pop())
+                        held.difference_update(own)
+                        least = min(own)
+                        out += [(x, least) for x in own]
+                elif m in place:
+                    low[n] = min(low[n], place[m])
+                else:
+                    place[m] = low[m] = len(place)
+                    stack.append(m)
+                    held.add(m)
+                    work.append((m, iter(ahead[m])))
+        yield pd.DataFrame(out, columns=["node", "component"])
+
+    return links.coalesce(1).mapInPandas(search, f"node {kind}, component {kind}")
+
+
 def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component): the least node of each strongly connected component, by forward and backward colours.
 
     Colours spread the greatest node forward to a fixpoint; what reaches a colour's own node backwards
     inside the colour is its component and leaves the graph. Each round settles a component of every
-    colour; nodes without edges in or out are trimmed first.
+    colour; nodes without edges in or out are trimmed first. Once few edges are left, one task searches them.
     """
     left = checkpointed(nodes.select("node").distinct())
     done = None
@@ -103,6 +150,10 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         while True:
             inner = links.join(left.withColumnRenamed("node", "source"), "source", "left_semi").join(left.withColumnRenamed("node", "target"), "target", "left_semi")
             links = checkpointed(inner)
+            if links.count() <= FEW_EDGES:
+                found = checkpointed(_strong_in_one_task(links))
+                own = found.unionByName(left.join(found, "node", "left_anti").select("node", F.col("node").alias("component")))
+                return own if done is None else done.unionByName(own)
             core = links.select(F.col("source").alias("node")).distinct().join(links.select(F.col("target").alias("node")), "node", "left_semi")
             alone = checkpointed(left.join(core, "node", "left_anti"))
             if alone.isEmpty():

@@ -54,7 +54,7 @@ def candidates(functions: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataF
     ends = inner.select("source", "target").join(component.toDF("source", "a"), "source").join(component.toDF("target", "b"), "target")
     entered = ends.where("a <> b").select(F.col("b").alias("component"), F.lit(True).alias("entered")).distinct()
     found = component.join(entered, "component", "left").select(F.col("node").alias("id"), "component", F.col("entered").isNull().alias("entry"))
-    return found, inner
+    return checkpointed(found), inner
 
 
 def candidate_totals(functions: DataFrame, found: DataFrame, inner: DataFrame) -> DataFrame:
@@ -70,7 +70,9 @@ def occurrences(texts: DataFrame, names: DataFrame) -> DataFrame:
     """(name, path, line, n): whole-token occurrences of the names in texts (path, text), by line from 1."""
     lines = texts.where("text is not null").select("path", F.posexplode(F.split("text", "\n")).alias("at", "line_text"))
     tokens = lines.select("path", (F.col("at") + 1).alias("line"), F.explode(F.regexp_extract_all("line_text", F.lit(IDENTIFIER), 0)).alias("name"))
-    return tokens.groupBy("name", "path", "line").agg(F.count("*").alias("n")).join(names.select("name").distinct(), "name", "left_semi")
+    wanted = checkpointed(names.select("name").distinct())
+    wanted = F.broadcast(wanted) if wanted.count() < G.FEW_NODES else wanted  # few by the count; then other tokens aren't shuffled
+    return tokens.join(wanted, "name", "left_semi").groupBy("name", "path", "line").agg(F.count("*").alias("n"))
 
 
 def census(found: DataFrame, functions: DataFrame, inner: DataFrame, texts: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.functions import text
-from corvane.operators import graph, history, lineage, resolve, tables
+from corvane.operators import graph, history, lineage, liveness, resolve, tables
 from corvane.plans import product_queries
 from corvane.session import tasks_for
 from tests.oracle import differences
@@ -180,3 +180,37 @@ def test_communities_of_many_neighbours_as_by_single_steps(spark, monkeypatch):
     assert sorted(map(tuple, graph.communities(edges, components).collect())) == want
     monkeypatch.setattr(graph, "FEW_NEIGHBOURS", 10**9)
     assert sorted(map(tuple, graph.communities(edges, components).collect())) == want
+
+
+@pytest.mark.parametrize("few", [0, 40, 1 << 17])
+def test_strong_components_of_few_edges_in_one_task(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW_EDGES", few)
+    pairs = [(f"n{i}", f"n{(i * 7 + 3) % 60}") for i in range(60)] + [(f"n{i}", f"n{i // 2}") for i in range(60)] + [("t1", "t2"), ("t2", "t3")]
+    nodes = sorted({n for p in pairs for n in p} | {"alone"})
+    ahead = defaultdict(set)
+    for a, b in pairs:
+        ahead[a].add(b)
+
+    def reach(n):
+        seen, todo = {n}, [n]
+        while todo:
+            for m in ahead[todo.pop()] - seen:
+                seen.add(m)
+                todo.append(m)
+        return seen
+
+    reached = {n: reach(n) for n in nodes}
+    want = [(n, min(m for m in reached[n] if n in reached[m])) for n in nodes]
+    rounds, real = [], graph.checkpointed
+    monkeypatch.setattr(graph, "checkpointed", lambda df: rounds.append(1) or real(df))
+    got = graph.strong_components(spark.createDataFrame([(n,) for n in nodes], "node string"), spark.createDataFrame(pairs, "source string, target string"))
+    assert sorted(map(tuple, got.collect())) == want
+    assert (len(rounds) == 4) == (few > 1000)
+
+
+def test_only_wanted_tokens_are_shuffled(spark):
+    texts = spark.createDataFrame([("f", "the cat\nof the the cat"), ("g", None)], "path string, text string")
+    df = liveness.occurrences(texts, spark.createDataFrame([("the",), ("the",), ("x",)], "name string"))
+    assert sorted(map(tuple, df.collect())) == [("the", "f", 1, 1), ("the", "f", 2, 2)]
+    plan = shown(df)
+    assert plan.index("HashAggregate") < plan.index("BroadcastHashJoin")  # the join is below the counts
